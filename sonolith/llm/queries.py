@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, simhash
+from . import exact_dedup, line_dedup, mixing, simhash, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_index(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,8 +34,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op6_exact_dedup, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op5_simhash, op6_exact_dedup, op7_warc, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
