@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, hmm, line_dedup, mixing, packing, simhash, warc
+from . import ann, exact_dedup, hmm, line_dedup, mixing, packing, quality, simhash, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     return hmm.score(table(spark, sf_dir, "documents"), held_out)
@@ -56,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op4_hmm, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_ann, op3_quality, op4_hmm, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
