@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, hmm, line_dedup, mixing, packing, quality, simhash, warc
+from . import ann, exact_dedup, hmm, line_dedup, mixing, packing, quality, simhash, substring_dedup, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -60,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op3_quality, op4_hmm, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_ann, op3_quality, op4_hmm, op5_simhash, op6_exact_dedup, op7_warc, op8_packing, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
