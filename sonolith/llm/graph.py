@@ -17,7 +17,7 @@ from .common import stage
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v) with u > v, each node's neighbours hung on the smallest of them and itself."""
     sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = stage(sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
     both = sides.join(least, "u")
     if large:
         out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -23,25 +23,31 @@ from pyspark.sql import functions as F
 from .common import stage
 from .graph import components
 
-WORDS, MAX_BITS, SEED = 4, 4, 42
+WORDS, MAX_BITS, SEED, SKETCH = 4, 4, 42, 128
 _ONES = np.uint64(0x0101010101010101)
 _PLACES = 1 << (np.arange(8)[:, None] + 8 * np.arange(8)[None, :]).astype(np.uint64)
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """The 64-bit SimHash over shingles of ``words`` words, repeats included; 0 without a word."""
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each shingle of ``words`` words, repeats included; fewer words are one shingle, none give none."""
     parts = text.encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
-    digest = xxhash.xxh64_intdigest
     starts = (ends - sizes)[: len(parts) - words + 1]
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash: the bits set in over half of the hashes; 0 without any."""
     total = len(hashes)
+    if total <= 1:
+        return int(hashes[0]) if total else 0
     hashes = np.concatenate([hashes, np.zeros(-total % 255, np.uint64)])
     counts = np.empty((8, 8), np.int64)  # by bit of a byte, then byte; a byte lane holds up to 255
     for i in range(8):
@@ -49,17 +55,34 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(_PLACES[2 * counts > total].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer. A null text counts as empty."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def sketch(hashes: np.ndarray) -> bytes:
+    """One-permutation minima of the distinct hashes in SKETCH bins, 16 bits each; empty bins are 65535."""
+    out = np.full(SKETCH, 65535, np.uint16)
+    if len(hashes):
+        ordered = np.sort(hashes)
+        bins = (ordered >> np.uint64(57)).astype(np.int64)
+        first = np.flatnonzero(np.diff(bins, prepend=-1))
+        out[bins[first]] = np.minimum((ordered[first] >> np.uint64(41)) & np.uint64(0xFFFF), np.uint64(65534)).astype(np.uint16)
+    return out.tobytes()
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, sketches: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th, fp[, sketch]): the fingerprint as a signed 64-bit integer. A null text counts as empty. th is the text's hash."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, words) if isinstance(t, str) else 0 for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.astype(np.int64)})
+            fp, more = np.empty(len(b), np.uint64), []
+            for i, t in enumerate(b["text"]):
+                h = shingle_hashes(t if isinstance(t, str) else "", words)
+                fp[i] = fingerprint(h)
+                if sketches:
+                    more.append(sketch(h))
+            made = b[["doc_id", "th"]].assign(fp=fp.view(np.int64))
+            yield made.assign(sketch=more) if sketches else made
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(run, f"doc_id {kind}, fp long")
+    return slim.mapInPandas(run, f"doc_id {kind}, th long, fp long" + ", sketch binary" * sketches)
 
 
 def _segments(m: int) -> list[tuple[int, int]]:
@@ -103,18 +126,53 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None)
     return q.join(h, near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose sketches (fp, sketch) put the share of common shingles at ``similarity`` or, within two standard errors, below."""
+    least = similarity - 2 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    both = pairs.join(sketched.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(sketched.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series(dtype=float)
+        p, q = (np.frombuffer(b"".join(c), np.uint16).reshape(len(x), -1) for c in (x, y))
+        held = (p != 65535) | (q != 65535)
+        return pd.Series(((p == q) & held).sum(1) / np.maximum(1, held.sum(1)))
+
+    return both.where(share("x", "y") >= least).select("a", "b")
+
+
+def _rooted(docs: DataFrame, words: int, max_bits: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, fp, root), a stored table."""
+    fps = stage(fingerprints(docs, words, similarity is not None, id_col, text_col), "fp")
+    distinct = stage(fps.select("fp").distinct(), "fps")
+    pairs = links(distinct, max_bits)
+    if similarity is not None:
+        one = stage(fps.groupBy("fp").agg(F.first("sketch").alias("sketch")), "sketches")
+        pairs = similar(pairs, one, similarity)
+    roots = stage(components(pairs).withColumnRenamed("node", "fp"), "roots")
+    return stage(fps.drop("sketch").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp, component_id.
 
     component_id is the smallest id among the documents reachable over links, the document itself
-    included (null if all these ids are null). Texts without words (null, empty, white space) have
-    fingerprint zero and are linked like others. Shorter texts than a shingle are one shingle.
+    included (null if all these ids are null). With ``similarity`` a link must also have that share
+    of common shingles, as estimated from sketches. Texts without words (null, empty, white space)
+    have fingerprint zero and are linked like others. Shorter texts than a shingle are one shingle.
     Repeated rows fall into one component. An empty table gives an empty result; other columns are
     ignored, whatever their names.
     """
-    fps = stage(fingerprints(docs, words, id_col, text_col), "fp")
-    distinct = stage(fps.select("fp").distinct(), "fps")
-    roots = components(links(distinct, max_bits))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    rooted = _rooted(docs, words, max_bits, similarity, id_col, text_col)
+    least = stage(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rooted.join(least, "root").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each component: the one with the smallest id (null ids last); of rows alike in id and text, one."""
+    rooted = _rooted(docs, words, max_bits, similarity, id_col, text_col)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("k1"), F.col("x.th").alias("k2"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("k0"), F.xxhash64(text_col).alias("th"))
+    kept = keyed.join(stage(first, "kept"), F.col("k0").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("k2")))
+    return kept.groupBy("k0", "th").agg(F.first("row").alias("row")).select("row.*")

@@ -16,7 +16,7 @@ def test_fingerprint_against_plain_sum():
     rnd = random.Random(3)
     for n in (0, 1, 3, 4, 5, 300, 2000):
         t = " ".join(rnd.choice(["Ab", "éà", "c", "dd", "Zz"]) for _ in range(n))
-        assert simhash.fingerprint(t) == brute(t)
+        assert simhash.fingerprint(simhash.shingle_hashes(t)) == brute(t)
 
 
 def test_links_find_all_pairs_with_any_number_of_segments(spark):
@@ -37,3 +37,21 @@ def test_components_and_edge_cases(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
     assert {(5, 3), (3, 3), (9, 8), (8, 8), (1, 1), (2, 2), (None, None)} == got
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_drop_keeps_one_of_each_group_and_sketches_tell_similarity(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rnd.choice(words) for _ in range(400)]
+    near, far = list(base), list(base)
+    near[7] = "changed"
+    far[::3] = ["other"] * len(far[::3])
+    rows = [(4, " ".join(base)), (2, " ".join(near)), (9, " ".join(far)), (9, " ".join(far)), (None, "a b c d e f g"), (None, "a b c d e f g"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS row", "2 AS th", "3 AS k0")
+    got = simhash.drop_near_duplicates(df, words=5, max_bits=7, similarity=0.8)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == [2, 7, 9, None]
+    a, b, c = (simhash.sketch(simhash.shingle_hashes(" ".join(x), 5)) for x in (base, near, far))
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    held = spark.createDataFrame([(1, bytearray(a)), (2, bytearray(b)), (3, bytearray(c))], "fp long, sketch binary")
+    assert [tuple(r) for r in simhash.similar(pairs, held, 0.8).collect()] == [(1, 2)]
