@@ -11,9 +11,12 @@ very common length is no hot key.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -24,85 +27,156 @@ from .common import stage
 
 CAPACITY, END_ID, SALTS = 4096, 1, 128
 #: Entries of a worker's cache of chunks, and bytes of text that are split at once.
-CACHE, SLICE = 400_000, 4_000_000
-_CACHES: dict[str, dict[bytes, bytes]] = {}
-_TOKENIZERS: dict[str, object] = {}
-# White space bytes.
-_SPACE = b" \t\n\x0b\x0c\r"
-
-
-def _fill(tokenizer, cache: dict[bytes, bytes], missing: list[bytes]) -> None:
-    """Encode chunks that stand between white space. A marker token between them lets one call encode many."""
-    mark = "<|startoftext|>"
-    mark_id = tokenizer.token_to_id(mark)
-    plain = [m for m in missing if b"<|" not in m] if mark_id is not None else []
-    for at in range(0, len(plain), 20_000):
-        part = plain[at : at + 20_000]
-        ids = np.array(tokenizer.encode(mark.join(x.decode("utf-8") for x in part), add_special_tokens=False).ids, np.uint32)
-        cuts = np.flatnonzero(ids == mark_id)
-        if len(cuts) != len(part) - 1:
-            plain = []
-            break
-        raw, begin = ids.astype("<u4").tobytes(), 0
-        for x, end in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-            cache[x] = raw[4 * begin : 4 * end]
-            begin = end + 1
-    for x in missing:
-        if x not in cache:
-            cache[x] = np.array(tokenizer.encode(x.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-
-
-def encode(texts: list[str], tokenizer_path: str, end_id: int = END_ID) -> Iterator[bytes]:
-    """Each text's ids and the end id, as little-endian unsigned 32-bit numbers.
-
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks
-    between ASCII white space, which recur and are kept in a bounded cache.
+CACHE, SLICE = 800_000, 4_000_000
+# How the word-end tokenizer prepares text, as its file says it.
+PREPARES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+# The same on chunks of printable ASCII without the sign that special tokens begin with, and of Latin letters with marks, all of them composed.
+_PLAIN = re.compile(r"[\x21-;=-\x7EÀ-ÖØ-öø-ɏ]+\Z")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-ɏ0-9]+")
+_SPACES = re.compile(rb"[ \t-\r]")
+_STOPS = frozenset(b".,;:!?")
+
+
+class Encoder:
+    """A tokenizer's ids as bytes.
+
+    A word-end tokenizer drops white space and no token spans it, so a text's ids are those of its
+    chunks between ASCII white space. Chunks recur: they are kept in a bounded cache, whose older
+    half, which the common ones reach first, survives. Of chunks not seen yet, plain ones are
+    split here and their parts go to the tokenizer's model many at once, for the last token of each part tells its
+    end; others go through the whole tokenizer. Other tokenizers encode whole texts.
     """
-    if tokenizer_path not in _TOKENIZERS:
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[tokenizer_path], _CACHES[tokenizer_path] = Tokenizer.from_file(tokenizer_path), {}
-    tokenizer, cache = _TOKENIZERS[tokenizer_path], _CACHES[tokenizer_path]
-    end = np.array([end_id], "<u4").tobytes()
-
-    def chunks(raw: bytes) -> bytes:
-        words = raw.split()
-        if missing := [w for w in set(words) if w not in cache]:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(set(words))
-            _fill(tokenizer, cache, missing)
-        return b"".join(map(cache.__getitem__, words))
-
-    def cut(raw: bytes) -> Iterator[bytes]:
-        while len(raw) > SLICE:
-            at = min((p for p in (raw.find(s, SLICE) for s in (_SPACE[i : i + 1] for i in range(6))) if p >= 0), default=len(raw))
-            yield raw[:at]
-            raw = raw[at:]
-        yield raw
-
-    raws = [t.encode("utf-8") if isinstance(t, str) else b"" for t in texts]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.end = np.array([end_id], "<u4").tobytes()
+        self.whole = Tokenizer.from_file(path)
+        self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.by_chunk = made["model"].get("end_of_word_suffix") == "</w>" and {k: made[k] for k in PREPARES} == PREPARES and all(t["content"].startswith("<") for t in made["added_tokens"])
+        if self.by_chunk:
+            self.ends = np.zeros(max(made["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in made["model"]["vocab"].items() if t.endswith("</w>")]] = True
+            made |= {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "added_tokens": []}
+            self.model = Tokenizer.from_str(json.dumps(made))
+            self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c and b != 10}
+
+    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that the cache lacks; they enter the cache, too."""
+        cache, parts = self.cache, self.parts
+        if len(cache) + len(missing) > CACHE:
+            for w in list(cache)[CACHE // 2 :]:
+                del cache[w]
+        if len(parts) > CACHE:
+            parts.clear()
+        single, double, split, out = [], [], [], {}
+        for w in missing:
+            if w.isalpha():  # of bytes: ASCII letters only
+                single.append(w)
+            elif w[-1] in _STOPS and w[:-1].isalpha():
+                double.append(w)
+            else:
+                text = w.decode("utf-8")
+                if _PLAIN.match(text):
+                    split.append((w, [x.encode() for x in _PARTS.findall(text.lower())]))
+                else:
+                    out[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        lower, stem, stop = [w.lower() for w in single], [w[:-1].lower() for w in double], [w[-1:] for w in double]
+        new = {*lower, *stem, *stop}
+        new.update(*[ps for _, ps in split])
+        self._learn_parts([x for x in new if x not in parts])
+        get = parts.__getitem__
+        out.update(zip(single, map(get, lower), strict=True))
+        out.update(zip(double, map(add, map(get, stem), map(get, stop)), strict=True))
+        for w, ps in split:
+            out[w] = b"".join([parts[x] for x in ps])
+        if len(cache) < CACHE:
+            cache.update(out)
+        return out
+
+    def _learn_parts(self, new: list[bytes]) -> None:
+        parts, letters = self.parts, self.letters
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            # One letter stands for each byte; Latin-1 decoding gives a letter a byte, and the table moves some of them.
+            shown = b"\n".join(part).decode("latin-1").translate(letters)
+            ids = np.array(self.model.encode(shown, add_special_tokens=False).ids, "<u4")
+            raw, begin = ids.tobytes(), 0
+            for x, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                parts[x] = raw[begin:end]
+                begin = end
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Each text's ids and the end id, as little-endian unsigned 32-bit numbers."""
+        if not self.by_chunk:
+            for t in texts:
+                yield np.array([*(self.whole.encode(t, add_special_tokens=False).ids if isinstance(t, str) else ()), *np.frombuffer(self.end, "<u4")], "<u4").tobytes()
+            return
+        held: list[list[bytes]] = []
+        size = 0
+        for t in texts:
+            raw = t.encode("utf-8") if isinstance(t, str) else b""
+            if len(raw) > SLICE:
+                yield from self._encode(held)
+                held, size = [], 0
+                yield b"".join([x[:-4] for part in _cut(raw) for x in self._encode([part.split()])] + [self.end])
+                continue
+            held.append(raw.split())
+            size += len(raw)
+            if size > SLICE:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        get = self.cache.get
+        found = [list(map(get, words)) for words in texts]
+        lacking = [None in ids for ids in found]
+        missing = {w for words, ids, lacks in zip(texts, found, lacking, strict=True) if lacks for w, x in zip(words, ids, strict=True) if x is None}
+        new = self._learn(missing)
+        for words, ids, lacks in zip(texts, found, lacking, strict=True):
+            yield b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)] if lacks else ids) + self.end
+
+
+def _cut(raw: bytes) -> Iterator[bytes]:
+    """Parts of about SLICE bytes, cut at white space."""
     at = 0
-    while at < len(raws):
-        size, to = 0, at
-        while to < len(raws) and (to == at or size + len(raws[to]) <= SLICE):
-            size += len(raws[to])
-            to += 1
-        if to > at + 1:  # learn what is new in many texts by one call
-            seen: set[bytes] = set()
-            for r in raws[at:to]:
-                seen.update(r.split())
-            missing = [w for w in seen if w not in cache]
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(seen)
-            if missing:
-                _fill(tokenizer, cache, missing)
-        for r in raws[at:to]:
-            yield b"".join([*map(chunks, cut(r)), end])
+    while at < len(raw):
+        space = _SPACES.search(raw, at + SLICE)
+        to = space.start() if space else len(raw)
+        yield raw[at:to]
         at = to
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable ones for themselves, others from 256 upward in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encode(texts: list[str | None], tokenizer_path: str, end_id: int = END_ID) -> Iterator[bytes]:
+    """Each text's ids and the end id, by this worker's encoder."""
+    if (tokenizer_path, end_id) not in _ENCODERS:
+        _ENCODERS[tokenizer_path, end_id] = Encoder(tokenizer_path, end_id)
+    return _ENCODERS[tokenizer_path, end_id](texts)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's tokens and its end, cut only where they are more than ``capacity``."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
