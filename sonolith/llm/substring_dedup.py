@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_of
 
-LENGTH, GRAM, SHALLOW, HOT, AT_ONCE = 400, 100, 16, 20_000, 20_000
+LENGTH, GRAM, SHALLOW, HOT, AT_ONCE = 400, 100, 16, 60_000, 20_000
 CHUNK, PLACE_BITS = 1 << 20, 21
 _ODD = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -198,13 +198,11 @@ def repeated_windows(group: np.ndarray, before: np.ndarray, after: np.ndarray, l
     return out
 
 
-def _spans(windows: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """For each row, the bytes that its windows cover, as (from, to) relative to the anchor."""
-    edge = np.diff(np.pad(windows.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(len(windows))]
-    for (i, a), (_, b) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist(), strict=True):
-        out[i].append((-(b - 1), length - a))
-    return out
+def _spans(windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """From and to of the bytes that each row's windows cover, relative to the anchor. Windows of one anchor overlap, so that is one span."""
+    first = windows.argmax(1)
+    last = windows.shape[1] - 1 - windows[:, ::-1].argmax(1)
+    return -last, length - first
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -271,9 +269,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         d = np.arange(reach + 1)
         several = rows["times"].to_numpy() > 1
         windows[several] = ((d >= length - right[:, None]) & (d <= left[:, None]))[several]
-        spans = _spans(windows, length)
-        made = pd.DataFrame({"g": rows["g"].to_numpy(), "c": rows["c"].to_numpy(), "spans": [[{"a": a, "b": b} for a, b in s] for s in spans]})
-        return made[[bool(s) for s in spans]]
+        a, b = _spans(windows, length)
+        return pd.DataFrame({"g": rows["g"].to_numpy(), "c": rows["c"].to_numpy(), "a": a, "b": b})[windows.any(1)]
 
     def sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole groups of a partition sorted by gram, some thousands of rows at once."""
@@ -296,7 +293,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     # At most classes / hot grams are hot, and a row of them is one number: small against a task's memory.
     hot_grams = stage(classes.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("g"), "hot")
     cool = shown.join(hot_grams, "g", "left_anti").repartition("g").sortWithinPartitions("g")
-    solved = cool.mapInPandas(sorted_groups, "g long, c long, spans array<struct<a: long, b: long>>")
+    solved = cool.mapInPandas(sorted_groups, "g long, c long, a long, b long")
     if not hot_grams.isEmpty():
 
         def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,14 +303,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     digests = [xxhash.xxh3_128_digest(raw[lead - x : lead - x + length]) for x in d.tolist()]
                     yield pd.DataFrame({"g": g, "c": c, "d": d, "w": digests, "times": times})
 
-        windows = stage(shown.join(hot_grams, "g", "left_semi").mapInPandas(slices, "g long, c long, d int, w binary, times long"), "windows")
+        windows = shown.join(hot_grams, "g", "left_semi").mapInPandas(slices, "g long, c long, d int, w binary, times long")
         again = stage(windows.groupBy("g", "d", "w").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("g", "d", "w"), "again")
-        runs = windows.join(again, ["g", "d", "w"]).groupBy("g", "c").agg(F.sort_array(F.collect_set("d")).alias("ds"))
-        # A run of windows covers what its ends cover, for a window is longer than a step; each window is a span here and spans are merged later.
-        solved = solved.unionByName(runs.select("g", "c", F.transform("ds", lambda d: F.struct((-d).cast("long").alias("a"), (length - d).cast("long").alias("b"))).alias("spans")))
+        ends = windows.join(again, ["g", "d", "w"]).groupBy("g", "c").agg((-F.max("d")).cast("long").alias("a"), (length - F.min("d")).cast("long").alias("b"))
+        solved = solved.unionByName(ends)
     solved = stage(solved, "solved")
-    parts = hits.where("mixed").join(solved, ["g", "c"]).select("doc_id", "th", "pos", F.explode("spans").alias("s"))
-    spans = spans.unionByName(parts.select("doc_id", "th", F.struct((F.col("pos") + F.col("s.a")).alias("a"), (F.col("pos") + F.col("s.b")).alias("b")).alias("span")))
+    parts = hits.where("mixed").join(solved, ["g", "c"])
+    spans = spans.unionByName(parts.select("doc_id", "th", F.struct((F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b")).alias("span")))
     return spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
 
 
