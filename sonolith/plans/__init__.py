@@ -6,7 +6,7 @@ from .registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from . import effect_queries, event_queries, signal_queries  # noqa: F401
+    from . import effect_queries, event_queries, signal_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
