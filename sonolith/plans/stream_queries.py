@@ -40,8 +40,8 @@ def codec_flac_stereo(spark, d) -> DataFrame:
 @query(
     """
 WITH H AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-L AS (SELECT doc_id, n, list_transform(range(n), k -> (position(substr(h, 2 * k + 1, 1) IN '0123456789ABCDEF') - 1) * 16 + position(substr(h, 2 * k + 2, 1) IN '0123456789ABCDEF') - 129) AS v FROM H)
-SELECT doc_id, CAST(n AS BIGINT) AS frames, CAST(coalesce(list_sum(v), 0) AS BIGINT) AS total, CAST(coalesce(list_max(list_transform(v, x -> abs(x))), 0) AS BIGINT) AS peak FROM L
+L AS (SELECT doc_id, n, list_transform(range(n), lambda k: (position(substr(h, 2 * k + 1, 1) IN '0123456789ABCDEF') - 1) * 16 + position(substr(h, 2 * k + 2, 1) IN '0123456789ABCDEF') - 129) AS v FROM H)
+SELECT doc_id, CAST(n AS BIGINT) AS frames, CAST(coalesce(list_sum(v), 0) AS BIGINT) AS total, CAST(coalesce(list_max(list_transform(v, lambda x: abs(x))), 0) AS BIGINT) AS peak FROM L
 """
 )
 def raw_decode(spark, d) -> DataFrame:
