@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -38,14 +39,19 @@ def _row(path: str, data: bytes, fmt: Format | None, header_only: bool) -> dict:
 
 def read(spark: SparkSession, path: str, header_only: bool = False, raw_format: Format | None = None) -> DataFrame:
     """HEADER, and ``samples`` (codes of PCM, values of float) unless only headers are asked for. A file that can't be read has an error and nothing else."""
-    names = [x.split()[0] for x in HEADER.split(", ")] + ([] if header_only else ["samples"])
+    text, whole = pa.string(), pa.int32()
+    kinds = [("path", text), ("codec", text), *[(k, whole) for k in ("channels", "sample_rate", "bit_depth", "valid_bits")], ("sample_format", text), ("channel_layout", pa.list_(text)), ("frames", pa.int64()), ("duration", pa.float64())]
+    kinds += [("tags", pa.map_(text, text)), ("extra", pa.map_(text, text)), ("error", text)] + ([] if header_only else [("samples", pa.list_(pa.float64()))])
+    arrow = pa.schema(kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, data in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame([_row(p, data, raw_format, header_only)]).reindex(columns=names).astype({k: "Int64" for k in ("channels", "sample_rate", "bit_depth", "valid_bits", "frames")})
+                row = _row(p.as_py(), data.as_py(), raw_format, header_only)
+                row |= {k: list(row[k].items()) for k in ("tags", "extra") if k in row}
+                yield pa.RecordBatch.from_pylist([{k: row.get(k) for k, _ in kinds}], schema=arrow)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, HEADER + ("" if header_only else ", samples array<double>"))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, HEADER + ("" if header_only else ", samples array<double>"))
 
 
 def project_metadata(headers: DataFrame, rate: int) -> DataFrame:
