@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stage
 
 MIN_REVISIT, CAPTURES_A_FILE = 1000, 2000
 # The line end and the media types of the format.
@@ -37,9 +37,10 @@ def _record(kind: str, record_id: Column, uri: Column, media: str, block: Column
 
 
 def elect(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Of (page_id, html): (digest, size, first_id), for payloads of at least ``min_bytes``: the capture that holds the payload."""
+    """Of (page_id, html): (digest, check, size, first_id), for payloads of at least ``min_bytes`` that come more than once: the capture that holds the payload."""
     keyed = pages.select("page_id", F.sha1("html").alias("digest"), F.sha2("html", 256).alias("check"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
-    return keyed.groupBy("digest", "check", "size").agg(F.max("page_id").alias("first_id"))
+    held = keyed.groupBy("digest", "check", "size").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return held.where("n > 1").drop("n")
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None:
@@ -52,7 +53,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None:
     clean = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "\r", "%0D"), "\n", "%0A")
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "page_id", clean.alias("url"), F.coalesce("html", F.lit("")).alias("html")).toDF("id", "page_id", "url", "html")
     rows = rows.select("*", F.sha1("html").alias("digest"), F.sha2("html", 256).alias("check"), F.octet_length("html").alias("size"))
-    first = elect(rows.select("page_id", "html"), min_bytes)
+    first = stage(elect(rows.select("page_id", "html"), min_bytes), "elected")  # stored: a hot payload's rows can then be split in the join
     rows = rows.join(first, ["digest", "check", "size"], "left").withColumn("again", F.coalesce(F.col("first_id") != F.col("page_id"), F.col("first_id").isNotNull()))
     # A row's own part keeps the records of repeated rows apart; all three come from one row of one task.
     own = F.concat(F.lit("<urn:capture:"), F.coalesce("id", F.lit("null")), F.lit(":"), F.expr("uuid()"))
