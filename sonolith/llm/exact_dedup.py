@@ -34,7 +34,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("rid"), "doc_id", "cp", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"), F.substring("norm", 1, first_width).alias("digit")
     )
     counts = docs.select(F.substring(norm, 1, first_width).alias("digit")).groupBy("digit").agg(F.count(F.lit(1)).alias("n"))
-    rows = stage(base.join(counts, "digit").select("rid", "doc_id", "cp", "sha", "n", F.when(F.col("n") > 1, F.col("norm")).alias("norm")), "radix0")
+    # Counts are stored, so that the join's two sides are plain exchanges, whose hot partitions can be split.
+    rows = base.join(stage(counts, "digits"), "digit")
+    rows = stage(rows.select("rid", "doc_id", "cp", "sha", "n", F.when(F.col("n") > 1, F.col("norm")).alias("norm")), "radix0")
 
     active = rows.where("n > 1").select("rid", F.lit(0).cast("long").alias("gid"), "norm")
     width, ended = first_width * (1 + growth), []
@@ -43,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = keyed.groupBy("gid", "digit").agg(F.min("rid").alias("next"), F.count(F.lit(1)).alias("n"))
         over = (F.col("n") == 1) | (F.length("digit") < width)
         split = stage(
-            keyed.join(groups, ["gid", "digit"]).select("rid", F.col("next").alias("gid"), over.alias("over"), F.when(~over, F.expr(f"substring(norm, {width + 1})")).alias("norm")), "radix"
+            keyed.join(stage(groups, "digits"), ["gid", "digit"]).select("rid", F.col("next").alias("gid"), over.alias("over"), F.when(~over, F.expr(f"substring(norm, {width + 1})")).alias("norm")), "radix"
         )
         ended.append(split.where("over").select("rid", F.col("gid").alias("class")))
         active = split.where("not over").select("rid", "gid", "norm")
@@ -56,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         classes = classes.unionByName(more)
     classed = stage(grouped.join(classes, "rid"), "classes") if ended else alone.limit(0)
     first = F.struct(-F.col("cp"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    chosen = classed.groupBy("class").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("first"))
+    chosen = stage(classed.groupBy("class").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("first")), "chosen") if ended else classed.groupBy("class").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("first"))
     many = classed.join(chosen, "class").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "sha")
     one = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return one.unionByName(many).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
