@@ -179,6 +179,50 @@ class Clips:
         level = (lambda v: F.pow(F.lit(10.0), v / 20.0)) if unit == "db" else (lambda v: v)
         return self._to(lambda s: A.by_frame(s, ch, lambda x, t, c: x * level(A.automation(t / rate, points))))
 
+    # ---- steps with another set of clips, joined by clip_id
+
+    def _with(self, other: Clips, f: Callable[[Column, Column], Column]) -> Clips:
+        """Both sets as floats in this format; clips without a partner are left as they are."""
+        there = other.convert(self.format).df().select(F.col("clip_id").alias("other_id"), F.col("samples").alias("other_samples"))
+        both = self.df().join(there, F.col("clip_id") == F.col("other_id"), "left")
+        made = f(A.to_float(F.col("samples"), self.format), A.to_float(F.coalesce("other_samples", F.array().cast("array<double>")), self.format))
+        return Clips(both.withColumn("samples", A.from_float(made, self.format)).drop("other_id", "other_samples"), self.format)
+
+    def concat(self, other: Clips) -> Clips:
+        return self._with(other, F.concat)
+
+    def prepend(self, other: Clips) -> Clips:
+        return self._with(other, lambda a, b: F.concat(b, a))
+
+    def overlay(self, other: Clips, at: float = 0.0) -> Clips:
+        return self._with(other, lambda a, b: A.add(a, b, self._frames(at) * self.format.channels))
+
+    def crossfade(self, other: Clips, duration: float) -> Clips:
+        return self._with(other, lambda a, b: A.crossfade(a, b, self.format.channels, self.format.sample_rate, duration))
+
+    def mix(self, other: Clips, strategy: str = "clip", gains: tuple[float, float] = (0.0, 0.0)) -> Clips:
+        """Two clips added up; ``none``, ``clip``, ``normalize`` or ``soft_limit`` says what becomes of sums above full scale."""
+        if strategy not in ("none", "clip", "normalize", "soft_limit"):
+            raise InvalidParameter(f"no such strategy for two clips: {strategy}")
+
+        def f(a: Column, b: Column) -> Column:
+            s = A.add(A.gain(a, gains[0]), A.gain(b, gains[1]))
+            if strategy == "clip":
+                return F.transform(s, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+            if strategy == "soft_limit":
+                return A.soft_limit(s)
+            if strategy == "normalize":
+                return F.zip_with(s, F.array_repeat(F.greatest(F.lit(1.0), A.peak(s)), F.size(s)), lambda x, k: x / k)
+            return s
+
+        return self._with(other, f)
+
+    def show(self) -> str:
+        """What the set is, in words."""
+        f = self.format
+        rate = f"{f.sample_rate / 1000:g}kHz" if f.sample_rate >= 1000 else f"{f.sample_rate}Hz"
+        return f"Clips({ {1: 'mono', 2: 'stereo'}.get(f.channels, f'{f.channels}ch') }, {rate}, {f.bit_depth} bit {f.sample_format})"
+
     # ---- measures
 
     def stats(self) -> DataFrame:

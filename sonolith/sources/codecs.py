@@ -489,26 +489,30 @@ def _rice(r: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _parameter(z: np.ndarray) -> int:
+    """The number of plain bits that suits the mean of zig-zag numbers."""
+    mean = float(z.mean()) if len(z) else 0.0
+    return min(14, max(0, math.floor(math.log2(mean)))) if mean >= 1 else 0
+
+
 def _coded(r: np.ndarray, n: int, order: int) -> np.ndarray:
-    best = None
+    """Residuals in as many partitions as cost least; the costs are told from sums, and only the best is written."""
+    z, best = (r << 1) ^ (r >> 63), None
     for parts in range(7):
         if n % (1 << parts) or n >> parts <= order:
             break
-        bits = [_put(0, 2), _put(parts, 4)]
-        at = 0
-        for p in range(1 << parts):
-            count = (n >> parts) - (order if p == 0 else 0)
-            own = r[at : at + count]
-            at += count
-            z = (own << 1) ^ (own >> 63)
-            k = min(range(15), key=lambda q: int((z >> q).sum()) + len(own) * (q + 1)) if len(own) else 0  # noqa: B023
-            bits += [_put(k, 4), _rice(own, k)]
-        made = np.concatenate(bits)
-        if best is None or len(made) < len(best):
-            best = made
-        elif parts > 2:
+        size = n >> parts
+        cuts = [0, *range(size - order, len(r) + 1, size)]
+        ks = [_parameter(z[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        cost = sum(4 + int((z[a:b] >> k).sum()) + (b - a) * (k + 1) for (a, b), k in zip(zip(cuts, cuts[1:], strict=False), ks, strict=True))
+        if best is not None and cost >= best[0]:
             break
-    return best
+        best = (cost, parts, cuts, ks)
+    _, parts, cuts, ks = best
+    bits = [_put(0, 2), _put(parts, 4)]
+    for (a, b), k in zip(zip(cuts, cuts[1:], strict=False), ks, strict=True):
+        bits += [_put(k, 4), _rice(r[a:b], k)]
+    return np.concatenate(bits)
 
 
 def _lpc(x: np.ndarray, bits: int, most: int = 8, precision: int = 14) -> list[np.ndarray]:
@@ -544,15 +548,16 @@ def _lpc(x: np.ndarray, bits: int, most: int = 8, precision: int = 14) -> list[n
 
 
 def _shortest(x: np.ndarray, bits: int) -> np.ndarray:
+    """The subframe of the fixed predictor with the least residuals, or a fitted one on longer blocks, or the samples as they are."""
     if (x == x[0]).all():
         return np.concatenate([_put(0, 8), _words(x[:1], bits)])
-    made = [np.concatenate([_put(2, 8), _words(x, bits)])]
-    r = x
-    for order in range(min(4, len(x) - 1) + 1):
-        r = np.diff(x, order) if order else x
-        made.append(np.concatenate([_put(0, 1), _put(8 + order, 6), _put(0, 1), _words(x[:order], bits), _coded(r, len(x), order)]))
-    made += _lpc(x, bits)
-    return min(made, key=len)
+    steps = [np.diff(x, order) if order else x for order in range(min(4, len(x) - 1) + 1)]
+    order = min(range(len(steps)), key=lambda o: int(np.abs(steps[o]).sum()))
+    made = [np.concatenate([_put(0, 1), _put(8 + order, 6), _put(0, 1), _words(x[:order], bits), _coded(steps[order], len(x), order)])]
+    if len(x) >= 256:
+        made += _lpc(x, bits)
+    best = min(made, key=len)
+    return best if len(best) < 8 + len(x) * bits else np.concatenate([_put(2, 8), _words(x, bits)])
 
 
 def _number(v: int) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Format
+from ..model import Format, InvalidParameter, frames_of
 
 RATE = 8_000
 MONO, STEREO = Format(1, RATE), Format(2, RATE)
@@ -43,3 +43,20 @@ def long_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as one clip of one row, centred and loud."""
     rows = long_signal(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("r"))
     return rows.select(F.lit(0).cast("long").alias("clip_id"), F.transform("r", lambda p: p["x"] * 2 - 1).alias("samples"))
+
+
+def tone(spark: SparkSession, fmt: Format, seconds: float, waveform: str = "sine", hz: float = 440.0, level: float = 1.0, clip_id: int = 0, **options) -> DataFrame:
+    """One clip of a waveform, the same on all channels."""
+    from ..functions import samples as A
+
+    n = frames_of(seconds, fmt.sample_rate)
+    if seconds > 3600 or n > 50_000_000:
+        raise InvalidParameter("a tone lasts an hour and 50 million frames at most")
+    frames = F.sequence(F.lit(0), F.lit(max(n, 1) - 1))
+    s = F.flatten(F.transform(frames, lambda t: F.array_repeat(A.oscillator(t, fmt.sample_rate, waveform, hz, level, **options), fmt.channels)))
+    return spark.range(1).select(F.lit(clip_id).cast("long").alias("clip_id"), A.from_float(s if n else F.array().cast("array<double>"), fmt).alias("samples"))
+
+
+def silent(spark: SparkSession, fmt: Format, seconds: float, clip_id: int = 0) -> DataFrame:
+    n = frames_of(seconds, fmt.sample_rate) * fmt.channels
+    return spark.range(1).select(F.lit(clip_id).cast("long").alias("clip_id"), F.array_repeat(F.lit(0.0), n).alias("samples"))

@@ -89,3 +89,29 @@ def test_chain_of_steps(spark):
     st = clips.stats().orderBy("clip_id").collect()
     assert st[0].peak == 1.0 and st[1].silent and st[1].lufs == -math.inf
     assert clips.normalize(-6.0).df().where("clip_id = 2").first()["samples"] == []
+
+
+def test_two_sets_of_clips(spark):
+    a = Clips(spark.createDataFrame([(1, [0.5, 0.5]), (2, [0.25])], "clip_id long, samples array<double>"), Format(1, 8000))
+    b = Clips(spark.createDataFrame([(1, [0.75, 0.75, 1.0])], "clip_id long, samples array<double>"), Format(1, 8000))
+    rows = lambda c: {r.clip_id: r.samples for r in c.df().collect()}
+    assert rows(a.concat(b)) == {1: [0.5, 0.5, 0.75, 0.75, 1.0], 2: [0.25]}
+    assert rows(a.prepend(b))[1] == [0.75, 0.75, 1.0, 0.5, 0.5]
+    assert rows(a.mix(b)) == {1: [1.0, 1.0, 1.0], 2: [0.25]} and rows(a.mix(b, "none"))[1] == [1.25, 1.25, 1.0]
+    assert rows(a.mix(b, "normalize"))[1] == [1.0, 1.0, 0.8] and rows(a.mix(b, "none", (0.0, -200.0)))[1][0] == pytest.approx(0.5)
+    assert rows(a.overlay(b, 1 / 8000))[1] == [0.5, 1.25, 0.75, 1.0]
+    assert rows(a.crossfade(b, 2 / 8000))[1] == pytest.approx([0.5, 0.75, 1.0])
+    assert a.show() == "Clips(mono, 8kHz, 32 bit float)"
+    one, two = a.split(1 / 8000)
+    assert rows(one)[1] == [0.5] and rows(two) == {1: [0.5], 2: []}
+
+
+def test_tones_and_silence(spark):
+    from sonolith.sources.tables import silent, tone
+
+    f = Format(2, 8000, 16, "pcm")
+    s = tone(spark, f, 0.01, "square", 100.0, 0.5).first()["samples"]
+    assert len(s) == 160 and max(s) <= 32767 and s[0] == s[1] and all(x == int(x) for x in s)
+    assert tone(spark, f, 0.0).first()["samples"] == [] and silent(spark, f, 0.001).first()["samples"] == [0.0] * 16
+    with pytest.raises(Exception):
+        tone(spark, f, 0.01, "sine", 5000.0)
