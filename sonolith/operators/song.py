@@ -43,9 +43,9 @@ def placed(mono: DataFrame, track: Track) -> DataFrame:
 
 def as_clip(frames: DataFrame, length: int) -> DataFrame:
     """(frame, l, r) as one stereo clip; frames without a row are silent."""
-    rows = frames.agg(F.collect_list(F.struct("frame", "l", "r")).alias("f"))
-    have = F.map_from_entries(F.transform("f", lambda p: F.struct(p["frame"], F.array(p["l"], p["r"]))))
-    return rows.withColumn("m", have).select(F.lit(0).cast("long").alias("clip_id"), F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")), lambda t: F.coalesce(F.try_element_at("m", t), F.array(F.lit(0.0), F.lit(0.0))))).alias("samples"))
+    every = frames.sparkSession.range(length).withColumnRenamed("id", "frame").join(frames, "frame", "left")
+    rows = every.agg(F.sort_array(F.collect_list(F.struct("frame", F.coalesce("l", F.lit(0.0)).alias("l"), F.coalesce("r", F.lit(0.0)).alias("r")))).alias("f"))
+    return rows.select(F.lit(0).cast("long").alias("clip_id"), F.flatten(F.transform("f", lambda p: F.array(p["l"], p["r"]))).alias("samples"))
 
 
 @dataclass

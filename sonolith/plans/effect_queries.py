@@ -195,7 +195,7 @@ def _weigh(where: str = "") -> str:
 
 @query(
     _weigh()
-    + """, B AS (SELECT s, avg(y * y) AS e FROM (SELECT CAST(k * 800 AS BIGINT) AS s FROM range(1000) r(k) WHERE k * 800 <= (SELECT max(i) + 1 FROM Y) - 3200) b JOIN Y ON Y.i >= s AND Y.i < s + 3200 GROUP BY s),
+    + """, B AS (SELECT s, avg(y * y) AS e FROM (SELECT CAST(k * 800 AS BIGINT) AS s FROM range(1000) r(k) WHERE k * 800 <= greatest(0, (SELECT max(i) + 1 FROM Y) - 3200)) b JOIN Y ON Y.i >= s AND Y.i < s + 3200 GROUP BY s),
 A AS (SELECT e FROM B WHERE -0.691 + 10 * log10(e) >= -70), G AS (SELECT -0.691 + 10 * log10(avg(e)) - 10 AS g FROM A)
 SELECT round(-0.691 + 10 * log10(avg(e)), 6) AS lufs FROM A, G WHERE -0.691 + 10 * log10(e) >= g"""
 )
@@ -210,7 +210,7 @@ for _name, _f, _n in (("lufs_momentary", T.momentary, 3200), ("lufs_short_term",
 
 @query(
     _weigh()
-    + """, B AS (SELECT s, avg(y * y) AS e FROM (SELECT CAST(k * 800 AS BIGINT) AS s FROM range(1000) r(k) WHERE k * 800 <= (SELECT max(i) + 1 FROM Y) - 3200) b JOIN Y ON Y.i >= s AND Y.i < s + 3200 GROUP BY s),
+    + """, B AS (SELECT s, avg(y * y) AS e FROM (SELECT CAST(k * 800 AS BIGINT) AS s FROM range(1000) r(k) WHERE k * 800 <= greatest(0, (SELECT max(i) + 1 FROM Y) - 3200)) b JOIN Y ON Y.i >= s AND Y.i < s + 3200 GROUP BY s),
 A AS (SELECT e FROM B WHERE -0.691 + 10 * log10(e) >= -70), G AS (SELECT -0.691 + 10 * log10(avg(e)) - 10 AS g FROM A),
 L AS (SELECT -0.691 + 10 * log10(avg(e)) AS lufs FROM A, G WHERE -0.691 + 10 * log10(e) >= g)
 SELECT i, round(x * power(10, (-14 - lufs) / 20), 6) + 0.0 AS y FROM O, L"""
