@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import samples as A
 from ..model import Format
+from . import kernels as K
 from . import stateful as T
 from .sequence import Clock, Section, Track, duration, events
 
@@ -41,6 +42,30 @@ def placed(mono: DataFrame, track: Track) -> DataFrame:
     return mono.select("frame", (F.col("y") * left).alias("l"), (F.col("y") * right).alias("r"))
 
 
+def chance(events_: DataFrame, seed: int) -> DataFrame:
+    """The triggers that sound: each by its probability, drawn from a hash of the seed and the event, so reruns agree. 0 never sounds, 1 always."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), "track", "bar", "step_index", "ratchet_index"), F.lit(2**53)) / float(2**53)
+    return events_.where((F.col("kind") == "trigger") & (draw < F.col("probability")))
+
+
+def play_samples(triggers: DataFrame, sample: DataFrame, stereo: bool = False) -> DataFrame:
+    """Of triggers and one clip (samples): (frame, l, r), the clip at each trigger, scaled by its velocity.
+
+    The clip's frames are exploded once and cross with the triggers, a small table on the clip's side: one clip of bounded length.
+    """
+    s = F.col("samples")
+    frames = A.frame_arrays(s, 2) if stereo else F.transform(s, lambda x: F.array(x, x))
+    sound = triggers.crossJoin(F.broadcast(sample.limit(1).select("samples"))).select("start_frame", "velocity", F.posexplode(frames).alias("t", "x"))
+    return sound.groupBy((F.col("start_frame") + F.col("t")).alias("frame")).agg(F.sum(F.col("x")[0] * F.col("velocity")).alias("l"), F.sum(F.col("x")[1] * F.col("velocity")).alias("r"))
+
+
+def with_effects(frames: DataFrame, length: int, fmt: Format, effects: Sequence) -> DataFrame:
+    """(frame, l, r) through a chain of effects (names, or names with options), tail included."""
+    chain = [(e, {}) if isinstance(e, str) else (e[0], dict(e[1])) for e in effects]
+    clip = as_clip(frames, length).withColumn("samples", T.apply(F.col("samples"), fmt, lambda: [K.build(name, **options) for name, options in chain]))
+    return clip.select(F.posexplode(A.frame_arrays(F.col("samples"), 2)).alias("frame", "x")).select(F.col("frame").cast("long").alias("frame"), F.col("x")[0].alias("l"), F.col("x")[1].alias("r"))
+
+
 def as_clip(frames: DataFrame, length: int) -> DataFrame:
     """(frame, l, r) as one stereo clip; frames without a row are silent."""
     every = frames.sparkSession.range(length).withColumnRenamed("id", "frame").join(frames, "frame", "left")
@@ -85,8 +110,15 @@ class Song:
             if t.notes or t.chords:
                 own = timeline.where((F.col("track") == t.name) & F.col("kind").isin("note", "chord"))
                 out[t.name] = placed(play(own, t, self.format.sample_rate), t)
+                if t.effects:
+                    out[t.name] = with_effects(out[t.name], max(1, round(self.duration() * self.format.sample_rate)), self.format, t.effects)
         return out
 
+    def write_stems(self, spark: SparkSession, path: str) -> None:
+        """Stems as Parquet, a folder a track."""
+        for name, stem in self.stems(spark).items():
+            stem.withColumn("track", F.lit(name)).write.mode("append").partitionBy("track").parquet(path)
+
     def frames(self, spark: SparkSession) -> DataFrame:
         """(frame, l, r): all stems added up."""
         stems = list(self.stems(spark).values())
