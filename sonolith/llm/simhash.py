@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import stage
 from .graph import components
 
@@ -143,34 +144,34 @@ def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFra
 
 
 def _rooted(docs: DataFrame, words: int, max_bits: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, fp, root), a stored table."""
-    fps = stage(fingerprints(docs, words, similarity is not None, id_col, text_col), "fp")
-    distinct = stage(fps.select("fp").distinct(), "fps")
-    pairs = links(distinct, max_bits)
+    """(doc_id, th, fp, root), a stored table; without fp if there is a similarity."""
     if similarity is not None:
-        one = stage(fps.groupBy("fp").agg(F.first("sketch").alias("sketch")), "sketches")
-        pairs = similar(pairs, one, similarity)
-    roots = stage(components(pairs).withColumnRenamed("node", "fp"), "roots")
-    return stage(fps.drop("sketch").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        return minhash.rooted(docs, words, similarity, id_col, text_col)
+    fps = stage(fingerprints(docs, words, False, id_col, text_col), "fp")
+    distinct = stage(fps.select("fp").distinct(), "fps")
+    roots = stage(components(links(distinct, max_bits)).withColumnRenamed("node", "fp"), "roots")
+    return stage(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp, component_id.
 
     component_id is the smallest id among the documents reachable over links, the document itself
-    included (null if all these ids are null). With ``similarity`` a link must also have that share
-    of common shingles, as estimated from sketches. Texts without words (null, empty, white space)
+    included (null if all these ids are null). Texts without words (null, empty, white space)
     have fingerprint zero and are linked like others. Shorter texts than a shingle are one shingle.
     Repeated rows fall into one component. An empty table gives an empty result; other columns are
     ignored, whatever their names.
     """
-    rooted = _rooted(docs, words, max_bits, similarity, id_col, text_col)
+    rooted = _rooted(docs, words, max_bits, None, id_col, text_col)
     least = stage(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rooted.join(least, "root").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each component: the one with the smallest id (null ids last); of rows alike in id and text, one."""
+    """The rows of ``docs`` without all but one of each component: the one with the smallest id (null ids last); of rows alike in id and text, one.
+
+    With ``similarity`` the links are documents with that share of common distinct shingles (see minhash), whatever their fingerprints.
+    """
     rooted = _rooted(docs, words, max_bits, similarity, id_col, text_col)
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("k1"), F.col("x.th").alias("k2"))
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("k0"), F.xxhash64(text_col).alias("th"))
