@@ -5,7 +5,7 @@ from itertools import combinations
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from sonolith.llm import minhash
+from sonolith.llm import minhash, simhash
 
 
 def shingles(text):
@@ -70,6 +70,15 @@ def test_near_duplicate_stage_against_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
 
 
+def test_equal_fingerprints_are_not_yet_one_class(spark):
+    said = "a b c d e " * 400
+    rows = [(1, said + "one of them ends in these few words of its own here"), (2, said + "while another goes on to say things that nobody else says")]
+    prints = {simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows}
+    assert len(prints) == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.drop_near_duplicates(df, 5, 7, 0.8).count() == 2
+
+
 def test_members_that_the_representative_does_not_join_are_compared(spark):
     # In one bucket, 1 is like none; 2 and 3 are one class already, as are 5 and 6.
     shared = spark.createDataFrame([(9, i, 10, 1, 10, 6) for i in range(1, 7)], "key long, node long, n long, rep long, m long, members long")
