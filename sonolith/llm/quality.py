@@ -1,7 +1,10 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-A document's evidence comes from a logistic model over selected words and binned style ratios,
-fitted on at most TRAIN_ROWS labelled rows (the bound is the parameter ``train_rows``). Sites add what the other
+A document's evidence comes from a logistic model over words, word beginnings and binned style ratios.
+A mark is a word, or a beginning that one, two or three of the document's distinct words share: rare
+words of one stem count together, in any language. For each target all marks that go with it beyond
+SIGNIFICANT standard deviations are taken, however many. The model is fitted on at
+most TRAIN_ROWS labelled rows (the bound is the parameter ``train_rows``). Sites add what the other
 documents there look like: the posterior mean of a path is shrunk toward its host's, and a host's toward
 the global mean, each by a strength that the method of moments finds from how far sites differ
 beyond chance. A sparse path thus has its host's prior, and a sparse host the global one. The
@@ -14,16 +17,19 @@ likely than not.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
-TRAIN_ROWS, WORDS_A_TARGET, BINS, LEAST_DOCS = 20_000, 100, 8, 8
+TRAIN_ROWS, SIGNIFICANT, BINS, LEAST_DOCS = 20_000, 6.0, 8, 3
+BEGINNINGS, MOST_WORDS, MEMO, BLOCK = (3, 4, 5, 6), 3, 200_000, 1024
 TARGETS = ("low", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 # Bytes of each class whose share of the text is a style ratio.
@@ -50,37 +56,84 @@ def describe(text: str | None) -> tuple[np.ndarray, set[str]]:
     return np.concatenate([shares, more]), kinds
 
 
+def stems(word: str) -> list[int]:
+    """Signed 64-bit ids, their lowest two bits clear, of a word and its beginnings."""
+    parts = [(word, 0)] + [(word[:n], n) for n in BEGINNINGS if len(word) >= n]
+    return [(xxhash.xxh3_64_intdigest(p, n) - 2**63) & ~3 for p, n in parts]
+
+
+def marks(found: Iterator[int]) -> list[int]:
+    """Of the stems of distinct words: each with the numbers of words, up to MOST_WORDS, that it reaches."""
+    return [h | k for h, v in Counter(found).items() for k in range(1, min(v, MOST_WORDS) + 1)]
+
+
 class Classifier:
-    """Two logistic models over bins of style ratios and chosen words."""
+    """Two logistic models over bins of style ratios and chosen marks."""
+
+    def __init__(self, edges: np.ndarray, chosen: np.ndarray, weights: np.ndarray, prior: np.ndarray):
+        self.edges, self.at, self.weights, self.prior = edges, {m: i for i, m in enumerate(chosen.tolist())}, weights, prior
+        self.stems, self.memo = {m & ~3 for m in self.at}, {}
+
+    def bins(self, style: np.ndarray) -> np.ndarray:
+        return np.arange(STYLES) * BINS + (self.edges < style[:, None]).sum(1)
 
-    def __init__(self, edges: np.ndarray, words: list[str], weights: np.ndarray, prior: np.ndarray):
-        self.edges, self.at, self.weights, self.prior = edges, {w: i for i, w in enumerate(words)}, weights, prior
+    def columns(self, style: np.ndarray, held: list[int]) -> list[int]:
+        """The columns that are one: bins, marks and the constant."""
+        return self.bins(style).tolist() + [STYLES * BINS + self.at[m] for m in held if m in self.at] + [STYLES * BINS + len(self.at)]
 
-    def row(self, style: np.ndarray, kinds: set[str]) -> np.ndarray:
-        x = np.zeros(STYLES * BINS + len(self.at) + 1, np.float32)
-        x[np.arange(STYLES) * BINS + (self.edges < style[:, None]).sum(1)] = 1
-        for w in kinds & self.at.keys():
-            x[STYLES * BINS + self.at[w]] = 1
-        x[-1] = 1
-        return x
+    def _stems(self, word: str) -> tuple[int, ...]:
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            got = self.memo[word] = tuple(h for h in stems(word) if h in self.stems)
+        return got
 
     def evidence(self, text: str | None) -> np.ndarray:
         """log likelihood ratio of each target: the model's log odds without its prior's."""
-        return self.row(*describe(text)) @ self.weights - self.prior
+        style, kinds = describe(text)
+        return self.weights[self.columns(style, marks(h for w in kinds for h in self._stems(w)))].sum(0) - self.prior
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights by Newton's steps, with a ridge on all but the constant."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def _logistic(rows: list[np.ndarray], y: np.ndarray, size: int, ridge: float = 1.0, steps: int = 300) -> np.ndarray:
+    """Weights over ``size`` columns, given each row's columns that are one, by L-BFGS; a ridge on all but the last, the constant."""
+    blocks = []
+    for i in range(0, len(rows), BLOCK):
+        lengths = np.array([len(r) for r in rows[i : i + BLOCK]])
+        blocks.append((np.concatenate(rows[i : i + BLOCK]), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths, y[i : i + BLOCK]))
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-3
-    x = x.astype(np.float64)
-    for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-4:
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope = (penalty * w) @ w / 2, penalty * w
+        for at, starts, lengths, true in blocks:
+            z = np.add.reduceat(w[at], starts)
+            loss += np.logaddexp(0, z).sum() - true @ z
+            slope += np.bincount(at, np.repeat(1 / (1 + np.exp(-np.clip(z, -500, 500))) - true, lengths), minlength=size)
+        return float(loss), slope
+
+    w, past = np.zeros(size), []
+    loss, slope = value(w)
+    for _ in range(steps):
+        step, used = slope.copy(), []
+        for s, g in reversed(past):
+            used.append((s @ step) / (s @ g))
+            step -= used[-1] * g
+        step *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(slope).sum())
+        for (s, g), x in zip(past, reversed(used), strict=True):
+            step += s * (x - (g @ step) / (s @ g))
+        t = 1.0
+        while True:
+            now, fresh = value(w - t * step)
+            if now <= loss - 1e-4 * t * (slope @ step) or t < 1e-9:
+                break
+            t /= 2
+        if t < 1e-9:
+            break
+        if -t * step @ (fresh - slope) > 1e-12:
+            past = [*past[-9:], (-t * step, fresh - slope)]
+        gain, w, loss, slope = loss - now, w - t * step, now, fresh
+        if gain < 1e-8 * max(1.0, abs(loss)):
             break
     return w
 
@@ -94,27 +147,50 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [describe(t) for t in b["text"]]
-            yield pd.DataFrame({"low": b["low"].to_numpy(), "toxic": b["toxic"].to_numpy(), "style": [s for s, _ in got], "kinds": [list(k) for _, k in got]})
+            yield pd.DataFrame({"low": b["low"].to_numpy(), "toxic": b["toxic"].to_numpy(), "style": [s for s, _ in got], "marks": [marks(h for w in k for h in stems(w)) for _, k in got]})
 
-    rows = stage(joined.mapInPandas(run, "low int, toxic int, style array<double>, kinds array<string>"), "labelled")
-    base = rows.select("low", "toxic", "style").toPandas()
-    if base.empty:
+    rows = stage(joined.mapInPandas(run, "low int, toxic int, style array<double>, marks array<long>"), "labelled")
+    n, *hits = rows.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(t), F.lit(0)) for t in TARGETS]).first()
+    if not n:
         return None
-    y = base[list(TARGETS)].to_numpy(float)
-    style = np.array(base["style"].tolist())
-    n, hits = len(y), y.sum(0)
-    sums = rows.select("low", "toxic", F.explode("kinds").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).where(F.col("n") >= LEAST_DOCS)
-    words: list[str] = []
+    sums = rows.select(*TARGETS, F.explode("marks").alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).where(F.col("n") >= LEAST_DOCS)
+    beyond = []
     for t, hit in zip(TARGETS, hits, strict=True):
         rate = float(hit) / n
-        z = F.abs(F.col(t) - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1e-9)
-        words += [r["word"] for r in sums.orderBy(z.desc(), "word").limit(WORDS_A_TARGET).collect()]
-    words = sorted(set(words))
-    model = Classifier(np.quantile(style, np.arange(1, BINS) / BINS, axis=0).T, words, np.zeros((0, 2)), np.zeros(2))
-    found = rows.select(F.array_intersect("kinds", F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")).alias("k"), "style", *TARGETS).toPandas()
-    x = np.stack([model.row(np.asarray(s), set(k)) for s, k in zip(found["style"], found["k"], strict=True)])
-    y = found[list(TARGETS)].to_numpy(float)
-    model.weights = np.stack([_logistic(x, y[:, i]) for i in range(2)], axis=1)
+        beyond.append((F.abs(F.col(t) - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1e-9) >= SIGNIFICANT).alias(t))
+    picked = sums.select("mark", *beyond).where(" OR ".join(TARGETS)).orderBy("mark").toPandas()
+    chosen = picked["mark"].to_numpy(np.int64)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A batch as one row of packed arrays: the driver holds no object for each mark."""
+        for b in batches:
+            held = []
+            for m in b["marks"]:
+                m = np.asarray(m, np.int64)
+                at = np.searchsorted(chosen, m)
+                at[at == len(chosen)] = 0
+                held.append(at[chosen[at] == m].astype(np.int32) if len(chosen) else np.zeros(0, np.int32))
+            if held:
+                y, style = b[list(TARGETS)].to_numpy(np.int8), np.array(b["style"].tolist(), float)
+                packed = [y, style, np.array([len(h) for h in held], np.int32), np.concatenate(held)]
+                yield pd.DataFrame({k: [v.tobytes()] for k, v in zip(("y", "style", "lengths", "held"), packed, strict=True)})
+
+    found = rows.mapInPandas(pick, "y binary, style binary, lengths binary, held binary").collect()
+    y, style, lengths, held = (np.concatenate([np.frombuffer(r[k], kind) for r in found]) for k, kind in (("y", np.int8), ("style", float), ("lengths", np.int32), ("held", np.int32)))
+    del found
+    y, style = y.reshape(-1, 2).astype(float), style.reshape(-1, STYLES)
+    model = Classifier(np.quantile(style, np.arange(1, BINS) / BINS, axis=0).T, chosen, np.zeros((0, 2)), np.zeros(2))
+    size = STYLES * BINS + len(chosen) + 1
+    weights = []
+    for i, t in enumerate(TARGETS):
+        # Each target's model has its own marks.
+        own, columns, start = picked[t].to_numpy(bool), [], 0
+        for k, n_held in enumerate(lengths.tolist()):
+            h = held[start : start + n_held]
+            start += n_held
+            columns.append(np.concatenate([model.bins(style[k]), STYLES * BINS + h[own[h]], [size - 1]]).astype(np.int32))
+        weights.append(_logistic(columns, y[:, i], size))
+    model.weights = np.stack(weights, axis=1)
     share = (y.sum(0) + 0.5) / (len(y) + 1)
     model.prior = np.log(share / (1 - share))
     return model
