@@ -3,7 +3,7 @@
 Each line becomes a row of hashes, document and position. The hashes are range-partitioned and
 sorted by hash, then document from the largest, then position; a window streams over each hash
 and marks what is not in its first document. What returns to the documents is no text but the
-runs of kept lines: a run-length compressed keep bitmap.
+list of dropped positions, uncompressed; beside the text it becomes the runs of kept lines.
 
 Hot lines: a sample of the rows names the hashes with over 1/2000 of the sample, so at most 2,000;
 that bounds their broadcast. They are counted by partial aggregation in place of the window. The
