@@ -1,12 +1,12 @@
 """Best-fit packing of tokenized documents with exact-complement hashing.
 
-Only the histogram of piece lengths reaches the driver, a table with at most ``capacity`` lengths
-times SALTS rows whatever the corpus. The plan works on counts: for each length from the longest,
+Only the histogram of piece lengths reaches the driver: at most ``capacity`` lengths times SALTS rows,
+and a row more for each ROWS_A_SALT pieces of a length that is still commoner. The plan works on counts: for each length from the longest,
 the gap is filled exactly by one, two or three lengths looked up by their sum, as often as the
 counts allow at once; what is left goes best-fit, equal bins together. Each such step uses up a
 length or a kind of bin, so the plan stays small too. Pieces then take the plan's places by their
-rank within their length; ranks are counted within SALTS salted parts of each length, so that one
-very common length is no hot key.
+rank within their length; ranks are counted within salted parts of each length, SALTS or more, of about
+ROWS_A_SALT pieces at most, so that no common length is a hot key.
 """
 
 from __future__ import annotations
@@ -16,18 +16,19 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
-CAPACITY, END_ID, SALTS = 4096, 1, 128
-#: Entries of a worker's cache of chunks, and bytes of text that are split at once.
-CACHE, SLICE = 800_000, 4_000_000
+CAPACITY, END_ID, SALTS, ROWS_A_SALT = 4096, 1, 128, 20_000
+#: Entries of a worker's cache of parts, and bytes of text that are split at once.
+CACHE, SLICE = 800_000, 16_000_000
 # How the word-end tokenizer prepares text, as its file says it.
 PREPARES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -39,21 +40,32 @@ PREPARES = {
         ],
     },
 }
-# The same on chunks of printable ASCII without the sign that special tokens begin with, and of Latin letters with marks, all of them composed.
-_PLAIN = re.compile(r"[\x21-;=-\x7EÀ-ÖØ-öø-ɏ]+\Z")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-ɏ0-9]+")
+# The same on chunks of printable ASCII without the sign that special tokens begin with, and of composed Latin letters with marks, but for the one whose lower case is two.
+_PLAIN = r"^[!-;=-~À-ÖØ-öø-įı-ſ]+\z"
+_SIMPLE, _STOPS = r"^[a-zß-öø-įı-ſ]+[.,;:!?]?\z", ".,;:!?"
+_PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZÀ-ÖØ-öø-ſ]+|[0-9]|[^a-zA-ZÀ-ÖØ-öø-ſ0-9\n]+")
 _SPACES = re.compile(rb"[ \t-\r]")
-_STOPS = frozenset(b".,;:!?")
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _mask(strings: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(strings, pattern).to_numpy(zero_copy_only=False)
 
 
 class Encoder:
     """A tokenizer's ids as bytes.
 
     A word-end tokenizer drops white space and no token spans it, so a text's ids are those of its
-    chunks between ASCII white space. Chunks recur: they are kept in a bounded cache, whose older
-    half, which the common ones reach first, survives. Of chunks not seen yet, plain ones are
-    split here and their parts go to the tokenizer's model many at once, for the last token of each part tells its
-    end; others go through the whole tokenizer. Other tokenizers encode whole texts.
+    chunks between ASCII white space. A slice of texts is split and its distinct chunks are found by Arrow;
+    each is looked at once, and the slice's ids are gathered from theirs. Plain chunks are split into
+    the tokenizer's parts all at once. Parts recur: a bounded cache keeps their ids, and new ones go to
+    the tokenizer's model many at once, for the last token of each part tells its end; chunks that
+    aren't plain go through the whole tokenizer. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -61,10 +73,9 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.end = end_id
         self.whole = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         self.by_chunk = made["model"].get("end_of_word_suffix") == "</w>" and {k: made[k] for k in PREPARES} == PREPARES and all(t["content"].startswith("<") for t in made["added_tokens"])
         if self.by_chunk:
             self.ends = np.zeros(max(made["model"]["vocab"].values()) + 1, bool)
@@ -73,81 +84,98 @@ class Encoder:
             self.model = Tokenizer.from_str(json.dumps(made))
             self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c and b != 10}
 
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks that the cache lacks; they enter the cache, too."""
-        cache, parts = self.cache, self.parts
-        if len(cache) + len(missing) > CACHE:
-            for w in list(cache)[CACHE // 2 :]:
-                del cache[w]
-        if len(parts) > CACHE:
+    def _of_parts(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts, one after the other, and how many each has."""
+        parts = self.parts
+        got = list(map(parts.get, names))
+        lacking = [i for i, x in enumerate(got) if x is None]
+        if len(parts) + len(lacking) > CACHE:
             parts.clear()
-        single, double, split, out = [], [], [], {}
-        for w in missing:
-            if w.isalpha():  # of bytes: ASCII letters only
-                single.append(w)
-            elif w[-1] in _STOPS and w[:-1].isalpha():
-                double.append(w)
-            else:
-                text = w.decode("utf-8")
-                if _PLAIN.match(text):
-                    split.append((w, [x.encode() for x in _PARTS.findall(text.lower())]))
-                else:
-                    out[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        lower, stem, stop = [w.lower() for w in single], [w[:-1].lower() for w in double], [w[-1:] for w in double]
-        new = {*lower, *stem, *stop}
-        new.update(*[ps for _, ps in split])
-        self._learn_parts([x for x in new if x not in parts])
-        get = parts.__getitem__
-        out.update(zip(single, map(get, lower), strict=True))
-        out.update(zip(double, map(add, map(get, stem), map(get, stop)), strict=True))
-        for w, ps in split:
-            out[w] = b"".join([parts[x] for x in ps])
-        if len(cache) < CACHE:
-            cache.update(out)
-        return out
-
-    def _learn_parts(self, new: list[bytes]) -> None:
-        parts, letters = self.parts, self.letters
+            parts[""] = b""
+        new = [names[i] for i in lacking]
+        ascii_only = [x for x in new if x.isascii()]
+        if len(ascii_only) < len(new):
+            self._learn([x for x in new if not x.isascii()], True)
+        self._learn(ascii_only, False)
+        for i, x in zip(lacking, new, strict=True):
+            got[i] = parts[x]
+        return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+
+    def _learn(self, new: list[str], marked: bool) -> None:
+        """Ask the model for parts. One letter stands for each byte, ASCII letters for themselves; Latin-1 decoding gives a letter a byte, and the table moves some."""
+        parts = self.parts
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            # One letter stands for each byte; Latin-1 decoding gives a letter a byte, and the table moves some of them.
-            shown = b"\n".join(part).decode("latin-1").translate(letters)
+            shown = "\n".join(part)
+            if marked:
+                shown = shown.encode("utf-8").decode("latin-1").translate(self.letters)
             ids = np.array(self.model.encode(shown, add_special_tokens=False).ids, "<u4")
             raw, begin = ids.tobytes(), 0
             for x, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
                 parts[x] = raw[begin:end]
                 begin = end
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids and the end id, as little-endian unsigned 32-bit numbers."""
+    def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct chunks in one array, where each chunk's begin, and how many it has."""
+        plain = _mask(chunks, _PLAIN)
+        low = pc.utf8_lower(chunks.filter(pa.array(plain)))
+        simple = _mask(low, _SIMPLE)
+        one, several = low.filter(pa.array(simple)), low.filter(pa.array(~simple))
+        stems = pc.utf8_rtrim(one, _STOPS)
+        found = _PARTS.findall("\n".join(several.to_pylist()))
+        parts = pa.concat_arrays([stems, pa.array(found, pa.string()), pa.array([*_STOPS, "\n"])]).dictionary_encode()
+        codes = parts.indices.to_numpy()
+        signs, line = codes[-1 - len(_STOPS) : -1], codes[-1]
+        names = parts.dictionary.to_pylist()
+        names[line] = ""  # between chunks, and where no sign follows a stem
+        flat, sizes = self._of_parts(names)
+        begins = np.cumsum(sizes) - sizes
+        pairs = np.full((len(one), 2), line, codes.dtype)
+        pairs[:, 0] = codes[: len(one)]
+        for sign, code in zip(_STOPS, signs, strict=True):
+            pairs[pc.ends_with(one, sign).to_numpy(zero_copy_only=False), 1] = code
+        rest = codes[len(one) : len(one) + len(found)]
+        others = [np.array(self.whole.encode(x, add_special_tokens=False).ids, "<u4") for x in chunks.filter(pa.array(~plain)).to_pylist()]
+        every = np.concatenate([pairs.ravel(), rest])
+        n_ids, at = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        where = np.flatnonzero(plain)
+        order = np.concatenate([where[simple], where[~simple], np.flatnonzero(~plain)])
+        by_chunk = np.cumsum(rest == line)
+        n_ids[order] = np.concatenate([sizes[pairs].sum(1), np.bincount(by_chunk, weights=sizes[rest], minlength=len(several)).astype(np.int64), np.array([len(x) for x in others], np.int64)])
+        at[order] = np.cumsum(n_ids[order]) - n_ids[order]
+        return np.concatenate([_gather(flat, begins[every], sizes[every]), *others]), at, n_ids
+
+    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
+        lists = pc.ascii_split_whitespace(texts)
+        chunks = lists.flatten().dictionary_encode()
+        flat, starts, sizes = self._of_chunks(chunks.dictionary)
+        codes = chunks.indices.to_numpy()
+        ids = _gather(flat, starts[codes], sizes[codes])
+        upto = np.concatenate([[0], np.cumsum(sizes[codes])])[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        raw = np.insert(ids, upto, self.end).astype("<u4", copy=False).tobytes()
+        begin = 0
+        for end in ((upto + np.arange(1, len(upto) + 1)) * 4).tolist():
+            yield raw[begin:end]
+            begin = end
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids and the end id, as little-endian unsigned 32-bit numbers. A null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.by_chunk:
-            for t in texts:
-                yield np.array([*(self.whole.encode(t, add_special_tokens=False).ids if isinstance(t, str) else ()), *np.frombuffer(self.end, "<u4")], "<u4").tobytes()
+            for t in texts.to_pylist():
+                yield np.array([*self.whole.encode(t, add_special_tokens=False).ids, self.end], "<u4").tobytes()
             return
-        held: list[list[bytes]] = []
-        size = 0
-        for t in texts:
-            raw = t.encode("utf-8") if isinstance(t, str) else b""
-            if len(raw) > SLICE:
-                yield from self._encode(held)
-                held, size = [], 0
-                yield b"".join([x[:-4] for part in _cut(raw) for x in self._encode([part.split()])] + [self.end])
-                continue
-            held.append(raw.split())
-            size += len(raw)
-            if size > SLICE:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[list[bytes]]) -> Iterator[bytes]:
-        get = self.cache.get
-        found = [list(map(get, words)) for words in texts]
-        lacking = [None in ids for ids in found]
-        missing = {w for words, ids, lacks in zip(texts, found, lacking, strict=True) if lacks for w, x in zip(words, ids, strict=True) if x is None}
-        new = self._learn(missing)
-        for words, ids, lacks in zip(texts, found, lacking, strict=True):
-            yield b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)] if lacks else ids) + self.end
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < len(texts):
+            to = int(np.searchsorted(upto, before + SLICE, "right"))
+            if to == at:
+                whole = [x[:-4] for part in _cut(texts[at].as_py().encode("utf-8")) for x in self._encode(pa.array([part.decode("utf-8")], pa.string()))]
+                yield b"".join([*whole, np.array([self.end], "<u4").tobytes()])
+                to = at + 1
+            else:
+                yield from self._encode(texts.slice(at, to - at))
+            at, before = to, int(upto[to - 1])
 
 
 def _cut(raw: bytes) -> Iterator[bytes]:
@@ -170,7 +198,7 @@ def _byte_letters() -> dict[int, str]:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encode(texts: list[str | None], tokenizer_path: str, end_id: int = END_ID) -> Iterator[bytes]:
+def encode(texts: pa.Array, tokenizer_path: str, end_id: int = END_ID) -> Iterator[bytes]:
     """Each text's ids and the end id, by this worker's encoder."""
     if (tokenizer_path, end_id) not in _ENCODERS:
         _ENCODERS[tokenizer_path, end_id] = Encoder(tokenizer_path, end_id)
@@ -182,19 +210,22 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, names = [], ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            for doc_id, raw in zip(b["doc_id"], encode(b["text"].tolist(), tokenizer_path, end_id), strict=True):
+            rows, ids = [], []
+            for i, raw in enumerate(encode(b.column(1), tokenizer_path, end_id)):
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
-            made = pd.DataFrame(out, columns=names)
-            if b["doc_id"].hasnans:
-                made["doc_id"] = made["doc_id"].astype("Int64") if kind == "bigint" else made["doc_id"]
-            yield made
+                    rows.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                    if with_ids:
+                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+            row, piece, start, length, crc = np.array(rows, np.int64).reshape(-1, 5).T
+            made = [b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+            if with_ids:
+                made.append(pa.array(ids, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return slim.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return slim.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -308,31 +339,38 @@ def places(bins: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, ...), which must be a stored table."""
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    counts[sums["length"].to_numpy(np.int64), sums["salt"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
-    per_length = counts.sum(axis=1)
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, ...), which must be a stored table.
+
+    A full piece is a sequence, numbered where it stands (from -1 down); it needs no plan and no shuffle.
+    """
+    spark, names = cut.sparkSession, [f"{f.name} {f.dataType.simpleString()}" for f in cut.schema]
+    alone = cut.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    part = cut.where(F.col("length") < capacity)
+    # At most ``capacity`` rows: the bound of the broadcast.
+    counted = [(r["length"], max(SALTS, -(-r["n"] // ROWS_A_SALT))) for r in part.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()]
+    salts = F.broadcast(spark.createDataFrame(counted, "length long, salts long"))
+    salted = part.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).select(*cut.columns, "salt")
+    sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "salt"])
+    length, salt, n = (sums[c].to_numpy(np.int64) for c in ("length", "salt", "n"))
+    per_length = np.bincount(length, weights=n, minlength=capacity).astype(np.int64)
     where = places(plan({int(k): int(per_length[k]) for k in np.flatnonzero(per_length)}, capacity))
-    ranks = (np.cumsum(counts, axis=1) - counts).astype(np.int64)
-    shared = cut.sparkSession.sparkContext.broadcast((where, where[:, 0] << 44 | where[:, 1], ranks))
+    before = np.cumsum(n) - n - (np.cumsum(per_length) - per_length)[length]
+    shared = spark.sparkContext.broadcast((where, where[:, 0] << 44 | where[:, 1], length << 40 | salt, before))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1)
-    names = [f"{f.name} {f.dataType.simpleString()}" for f in cut.schema]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, keys, before = shared.value
+        rows, keys, groups, ranks = shared.value
         for b in batches:
             if not len(b):
                 continue
             length = b["length"].to_numpy(np.int64)
-            rank = before[length, b["salt"].to_numpy(np.int64)] + b["rank"].to_numpy(np.int64)
+            rank = ranks[np.searchsorted(groups, length << 40 | b["salt"].to_numpy(np.int64))] + b["rank"].to_numpy(np.int64)
             row = rows[np.searchsorted(keys, length << 44 | rank, "right") - 1]
             turn = rank - row[:, 1]
             yield b.drop(columns=["salt", "rank"]).assign(sequence_id=row[:, 2] + turn // row[:, 4], offset=row[:, 3] + turn % row[:, 4] * length)
 
-    return ranked.mapInPandas(run, ", ".join(names) + ", sequence_id long, offset long")
+    return alone.unionByName(ranked.mapInPandas(run, ", ".join(names) + ", sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,15 +15,16 @@ def plain(path, text):
     return np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [1], "<u4").tobytes()
 
 
+@pytest.mark.parametrize("cache", [40, 100_000])
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_encoder_agrees_with_the_tokenizer(name, monkeypatch):
+def test_encoder_agrees_with_the_tokenizer(name, cache, monkeypatch):
     monkeypatch.setattr(packing, "SLICE", 300)
-    monkeypatch.setattr(packing, "CACHE", 40)
+    monkeypatch.setattr(packing, "CACHE", cache)
     rnd = random.Random(1)
     path = tokenizer_path(name)
     odd = ["it's <|endoftext|>x <|startoftext|>", "Ünï cödé \x1cabc\x85d é İ Σίσυφος ΟΔΟΣ a\xa0b", "don't  12345 !!?? a'b'll x²³½ ª", "", "Cáfe ÀÖØö ǅ × ÷", "日本 語テキスト 🙂🙂 ok", "\x00 \x7f a​b", "I'M WE'LL o'Reilly 'tis"]
     odd += ["".join(rnd.choice("abcXYZ éÀ'.,!<|>0 9\n\t\xa0ßſK") for _ in range(rnd.randint(1, 900))) for _ in range(60)]
-    got = list(packing.Encoder(path, 1)([*odd, None]))
+    got = list(packing.Encoder(path, 1)(pa.array([*odd, None])))
     assert got == [plain(path, t) for t in [*odd, ""]]
 
 
