@@ -3,9 +3,9 @@
 Documents with equal sets of distinct shingles are one class from the start. Candidates are classes
 that agree in one of BANDS independent bands of ROWS minima each: a pair with share J misses them all
 with probability (1 - J^ROWS)^BANDS, 0.000015 at 0.8. Every link is verified on the whole shingle
-sets. A band's bucket is never cut. Its members are first compared with one of them; the pairs that
-remain are those whose ends these links leave apart, so a large group of near copies does not make
-the square of its size, and the components are those of all candidates.
+sets. A band's bucket is never cut. Its members are first compared with one of them; what these links
+leave apart is compared block with block inside a task, which returns only links, so a large group
+of near copies makes no row a pair, and the components are those of all candidates.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import stage
 from .graph import components
 
 BANDS, ROWS, SEED, BLOCK = 28, 5, 42, 4096
+#: Sets, and bytes of sets, in a block of a bucket; hashes that are compared at once.
+MEMBERS, SET_BYTES, COLUMNS = 256, 16_000_000, 8192
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 
 
@@ -97,21 +99,77 @@ def star_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     return shared.where((F.col("node") != F.col("rep")) & _comparable("n", "m", similarity)).select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def other_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """The members' pairs that the roots (node, root) leave apart, but for those with representatives.
-
-    Of such a pair at least one end lies outside the bucket's most frequent root.
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of the left sets has in common with each of the right ones."""
+    sizes = np.array([len(x) for x in [*left, *right]])
+    ids = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(ids, kind="stable")
+    ids, row = ids[order], row[order]
+    out = np.zeros((len(left), len(right)))
+    for at in range(0, int(ids[-1]) + 1 if len(ids) else 0, COLUMNS):
+        a, b = np.searchsorted(ids, [at, at + COLUMNS])
+        held = np.zeros((len(sizes), COLUMNS), np.float32)
+        held[row[a:b], ids[a:b] - at] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _joined(left: pd.DataFrame, right: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of nodes (node, root, hashes) of that similarity, as many as join the roots that such pairs join."""
+    sets = [[np.frombuffer(x, np.uint64) for x in side["hashes"]] for side in (left, right)]
+    both = _common(*sets)
+    sizes = [np.array([len(x) for x in side]) for side in sets]
+    share = both / np.maximum(1, sizes[0][:, None] + sizes[1][None, :] - both)
+    near = (share >= similarity) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    out = []
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True):
+        p, q = sorted((top(int(left["root"].iloc[i])), top(int(right["root"].iloc[j]))))
+        if p != q:
+            above[q] = p
+            out.append((int(left["node"].iloc[i]), int(right["node"].iloc[j])))
+    return out
+
+
+def apart_links(docs: DataFrame, nodes: DataFrame, shared: DataFrame, roots: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """Links (a, b) between members of a bucket that the roots (node, root) leave apart; a stored table, or None if no bucket is left apart.
+
+    At least one end of such a link lies outside the bucket's most frequent root. Those outside and those
+    within it are dealt into blocks of about MEMBERS sets or SET_BYTES; a task compares one block with
+    another, so a bucket of g members makes about g * g / MEMBERS rows, and no row for a pair that is no link.
     """
-    found = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = found.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("x.root").alias("main"))
     # With two members the representative's pair is the only one.
-    split = stage(found.where("members > 2").join(main, "key"), "split")
-    p, q = split.alias("p"), split.where("root <> main").alias("q")
-    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & ((F.col("p.root") == F.col("p.main")) | (F.col("p.node") < F.col("q.node")))
-    told = (F.col("p.node") == F.col("p.rep")) | (F.col("q.node") == F.col("q.rep"))
-    out = p.join(q, apart & ~told & _comparable("p.n", "q.n", similarity))
-    return out.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    found = shared.where("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = found.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / MEMBERS, s * (8 / SET_BYTES))).cast("int")
+    sums = parts.groupBy("key").agg(F.max(F.struct("c", "root", "s")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("parts > 1")
+    main = sums.select("key", F.col("x.root").alias("main"), blocks(F.col("x.c"), F.col("x.s")).alias("within"), blocks(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("outside"))
+    split = stage(found.join(main, "key").select("key", "node", "root", "within", "outside", (F.col("root") != F.col("main")).alias("out")), "split")
+    if split.isEmpty():
+        return None
+    sets = stage(shingle_sets(docs, stage(nodes.select("node", "k.*").join(split.select("node").distinct(), "node"), "wanted"), words, id_col, text_col), "sets")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("outside")).otherwise(F.col("within"))).cast("int")
+    meets = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    inner = F.transform(meets("outside"), lambda j: F.struct(F.lit(False).alias("alike"), F.col("mine").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    outer = F.transform(meets("within"), lambda i: F.struct(F.lit(False).alias("alike"), i.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side")))
+    alike = F.transform(meets("outside"), lambda j: F.struct(F.lit(True).alias("alike"), F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"), F.when(F.col("mine") <= j, 0).otherwise(1).alias("side")))
+    dealt = split.withColumn("mine", mine).select("key", "node", "root", F.explode(F.when(F.col("out"), F.concat(outer, alike)).otherwise(inner)).alias("x")).select("key", "node", "root", "x.*")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if rows["alike"].iloc[0] and rows["i"].iloc[0] == rows["j"].iloc[0]:
+            right = left
+        return pd.DataFrame(_joined(left, right, similarity) if len(left) and len(right) else [], columns=["a", "b"], dtype=np.int64)
+
+    return stage(dealt.join(sets, "node").groupBy("key", "alike", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "links")
 
 
 def rooted(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,9 +181,7 @@ def rooted(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id
     shared = stage(buckets.join(reps.select("key", F.col("x.node").alias("rep"), F.col("x.n").alias("m"), "members"), "key"), "buckets")
     found = links(docs, nodes, stage(star_pairs(shared, similarity), "pairs"), words, similarity, id_col, text_col)
     roots = stage(components(found), "roots")
-    rest = stage(other_pairs(shared, roots, similarity), "pairs")
-    if not rest.isEmpty():
-        more = links(docs, nodes, rest, words, similarity, id_col, text_col)
-        if not more.isEmpty():
-            roots = stage(components(found.unionByName(more)), "roots")
+    more = apart_links(docs, nodes, shared, roots, words, similarity, id_col, text_col)
+    if more is not None and not more.isEmpty():
+        roots = stage(components(found.unionByName(more)), "roots")
     return stage(made.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")), "rooted")

@@ -79,10 +79,39 @@ def test_equal_fingerprints_are_not_yet_one_class(spark):
     assert simhash.drop_near_duplicates(df, 5, 7, 0.8).count() == 2
 
 
-def test_members_that_the_representative_does_not_join_are_compared(spark):
-    # In one bucket, 1 is like none; 2 and 3 are one class already, as are 5 and 6.
-    shared = spark.createDataFrame([(9, i, 10, 1, 10, 6) for i in range(1, 7)], "key long, node long, n long, rep long, m long, members long")
-    roots = spark.createDataFrame([(2, 2), (3, 2), (5, 5), (6, 5)], "node long, root long")
-    got = sorted(tuple(r) for r in minhash.other_pairs(shared, roots, 0.8).collect())
-    assert got == [(2, 4), (2, 5), (2, 6), (3, 4), (3, 5), (3, 6), (4, 5), (4, 6)]
-    assert sorted(tuple(r) for r in minhash.star_pairs(shared.withColumn("m", F.lit(13)), 0.8).collect()) == []
+def test_members_that_the_representative_does_not_join_are_compared(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(6):
+        base = [rnd.choice(words) for _ in range(120)]
+        texts += [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in rnd.sample(range(120), 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    made = minhash.classes(docs, 5).collect()
+    at = {r.doc_id: r.node for r in made}
+    nodes = spark.createDataFrame([(r.node, r.n, r.doc_id, r.th) for r in made], "node long, n int, k0 long, k1 long").select("node", "n", F.struct("k0", "k1").alias("k"))
+    rep = min(at.values())
+    shared = spark.createDataFrame([(9, r.node, r.n, rep, r.n, len(made)) for r in made], "key long, node long, n int, rep long, m int, members int")
+    # Some are one class already; what is left apart has links that the roots don't tell.
+    known = {at[i]: min(at[0], at[1], at[2]) for i in (0, 1, 2)}
+    roots = spark.createDataFrame(list(known.items()), "node long, root long")
+    sets = {at[i]: shingles(t) for i, t in enumerate(texts)}
+    for members in (2, 256):
+        monkeypatch.setattr(minhash, "MEMBERS", members)
+        up = {x: known.get(x, x) for x in sets}
+        links = [tuple(r) for r in minhash.apart_links(docs, nodes, shared, roots, 5, 0.8).collect()]
+        assert len(links) == len(set(links))
+
+        def top(x, up=up):
+            return x if up[x] == x else top(up[x])
+
+        for a, b in links:
+            assert share(sets[a], sets[b]) >= 0.8 and known.get(a, a) != known.get(b, b)
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+        groups = defaultdict(set)
+        for i in at:
+            groups[top(at[i])].add(i)
+        assert sorted(map(sorted, groups.values())) == [list(range(k, k + 5)) for k in range(0, 30, 5)]
+    one = shared.limit(0)
+    assert minhash.apart_links(docs, nodes, one, roots, 5, 0.8) is None
