@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """One row for each row of ``docs``: doc_id, place, size, source_size, target, copies, taken.
 
     ``copies`` is how often the mix takes the document: the whole passes that the target holds, and
-    one more below the source's threshold; ``taken`` is copies x size. The last document is taken if
+    one more below the source's threshold, ``cap`` at most; ``taken`` is copies x size. The last document is taken if
     that brings the sum nearer to the target. A null text has size 0; a null source is a source of
     its own, after all others; rows alike in id and text share a fate. Sources without a word get
     target 0. An empty table gives an empty result. ``cap`` is a whole number of passes. The place (the hash) and the id find a
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     flip = F.lit(-(2**63))
     below = F.col("h").bitwiseXOR(flip) < F.col("start").bitwiseXOR(flip)
     extra = F.coalesce((below | F.coalesce(F.col("h") == F.col("also"), F.lit(False))).cast("long"), F.lit(0))
-    out = rows.join(plan, by).withColumn("copies", F.col("passes") + extra)
+    out = rows.join(plan, by).withColumn("copies", F.least(F.lit(int(cap)).cast("long"), F.col("passes") + extra))
     return out.select("doc_id", F.col("h").alias("place"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
