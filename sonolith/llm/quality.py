@@ -5,8 +5,8 @@ A mark is a word, or a beginning that one, two or three of the document's distin
 words of one stem count together, in any language. For each target all marks that go with it beyond
 SIGNIFICANT standard deviations are taken, however many. The model is fitted on at
 most TRAIN_ROWS labelled rows (the bound is the parameter ``train_rows``). Sites add what the other
-documents there look like: the posterior mean of a path is shrunk toward its host's, and a host's toward
-the global mean, each by a strength that the method of moments finds from how far sites differ
+documents there look like, without the document itself: the posterior mean of a path is shrunk toward its host's, and a
+host's toward the global mean, each by a strength that the method of moments finds from how far sites differ
 beyond chance. A sparse path thus has its host's prior, and a sparse host the global one. The
 document's log odds are its log likelihood ratio plus the log odds of its path.
 
@@ -244,13 +244,17 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     hosts = paths.groupBy("host", F.substring("none", 1, 5).alias("hn")).agg(F.sum("n").alias("hosts_n"), *[F.sum(t).alias(f"host_{t}") for t in TARGETS])
     total = paths.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     both = stage(paths.withColumn("hn", F.substring("none", 1, 5)).join(hosts, ["host", "hn"]), "sites")
-    prior = []
-    for t in TARGETS:
-        top = F.lit(float(total[t]) / total["n"] if total["n"] else 0.5)
-        k1 = _strength(hosts, "hosts_n", f"host_{t}", top)
-        at_host = (F.col(f"host_{t}") + k1 * top) / (F.col("hosts_n") + k1)
-        k2 = _strength(both, "n", t, at_host)
-        prior.append(((F.col(t) + k2 * at_host) / (F.col("n") + k2)).alias(f"prior_{t}"))
-    sites = stage(both.select(*site, *prior), "priors")
-    out = judged.join(sites, site).select("doc_id", *(["row"] if carry else []), *[(1 / (1 + F.exp(-(F.col(t) + _logit(F.col(f"prior_{t}")))))).alias(f"p_{t}") for t in TARGETS])
+    out = judged.join(both.select(*site, *[F.col(c).alias(f"path_{c}") for c in ("n", *TARGETS)], "hosts_n", *[f"host_{t}" for t in TARGETS]), site)
+    judged_odds = []
+    for i, t in enumerate(TARGETS):
+        start, own = 1 / (1 + float(np.exp(-priors[i]))), odds[t]
+        # The global mean of the others and of one document that the model's prior stands for.
+        top = (F.lit(float(total[t] or 0) + start) - own) / F.lit(float(total["n"] or 1))
+        whole = F.lit(float(total[t]) / total["n"] if total["n"] else 0.5)
+        k1 = _strength(hosts, "hosts_n", f"host_{t}", whole)
+        k2 = _strength(both, "n", t, (F.col(f"host_{t}") + k1 * whole) / (F.col("hosts_n") + k1))
+        at_host = (F.col(f"host_{t}") - own + k1 * top) / (F.col("hosts_n") - 1 + k1)
+        prior = (F.col(f"path_{t}") - own + k2 * at_host) / (F.col("path_n") - 1 + k2)
+        judged_odds.append((1 / (1 + F.exp(-(F.col(t) + _logit(prior))))).alias(f"p_{t}"))
+    out = out.select("doc_id", *(["row"] if carry else []), *judged_odds)
     return out.withColumn("kept", (F.col("p_low") <= 0.5) & (F.col("p_toxic") <= 0.5))
