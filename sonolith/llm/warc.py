@@ -37,10 +37,11 @@ def _record(kind: str, record_id: Column, uri: Column, media: str, block: Column
 
 
 def elect(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Of (page_id, html): (digest, check, size, first_id), for payloads of at least ``min_bytes`` that come more than once: the capture that holds the payload."""
+    """Of (page_id, html): (digest, check, size, first_id, holders), for payloads of at least ``min_bytes`` that come more than once: the page that holds the payload, and how many rows are that page."""
     keyed = pages.select("page_id", F.sha1("html").alias("digest"), F.sha2("html", 256).alias("check"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
-    held = keyed.groupBy("digest", "check", "size").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    return held.where("n > 1").drop("n")
+    pages_held = keyed.groupBy("digest", "check", "size", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    held = pages_held.groupBy("digest", "check", "size").agg(F.max(F.struct("page_id", "n")).alias("x"), F.sum("n").alias("n"))
+    return held.where("n > 1").select("digest", "check", "size", F.col("x.page_id").alias("first_id"), F.col("x.n").alias("holders"))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None:
@@ -48,26 +49,29 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT) -> None:
 
     A null payload is empty, a null url is ``about:blank``; line ends in a url are percent-encoded. Of
     equal payloads of at least ``min_bytes`` the largest page_id's is the response and the others
-    refer to it; rows that repeat that id too are responses.
+    refer to it; rows that repeat that id too are responses. A record that others refer to is named by its page and its payload's
+    digest, all others by a random id. Where several rows are the page that holds a payload, no one of them is
+    named: a revisit's metadata has the page in any case.
     """
     clean = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "\r", "%0D"), "\n", "%0A")
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "page_id", clean.alias("url"), F.coalesce("html", F.lit("")).alias("html")).toDF("id", "page_id", "url", "html")
+    rows = pages.select(F.col("page_id").cast("string").alias("id"), F.col("page_id").alias("page_id"), clean.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.select("*", F.sha1("html").alias("digest"), F.sha2("html", 256).alias("check"), F.octet_length("html").alias("size"))
     first = stage(elect(rows.select("page_id", "html"), min_bytes), "elected")  # stored: a hot payload's rows can then be split in the join
     rows = rows.join(first, ["digest", "check", "size"], "left").withColumn("again", F.coalesce(F.col("first_id") != F.col("page_id"), F.col("first_id").isNotNull()))
-    # A row's own part keeps the records of repeated rows apart; all three come from one row of one task.
-    own = F.concat(F.lit("<urn:capture:"), F.coalesce("id", F.lit("null")), F.lit(":"), F.expr("uuid()"))
-    rows = rows.withColumn("own", own)
+    single = F.col("holders") == 1
+    holder = F.when(single, F.concat(F.lit("<urn:capture:"), F.col("first_id").cast("string"), F.lit(":"), F.col("digest"), F.lit(":response>")))
+    rows = rows.withColumn("part", F.when(single & (F.col("first_id") == F.col("page_id")), F.col("digest")).otherwise(F.expr("uuid()")))
+    rows = rows.withColumn("own", F.concat(F.lit("<urn:capture:"), F.coalesce("id", F.lit("null")), F.lit(":"), F.col("part")))
     response, digest = F.concat("own", F.lit(":response>")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"))
     http = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}"
     status = F.concat(F.lit(f"{http}Content-Length: "), F.col("size").cast("string"), F.lit(END * 2))
     # A url may hold characters that break a request line; the request names the capture instead.
     request = F.concat(F.lit("GET / HTTP/1.1" + END + "X-Capture: "), F.coalesce("id", F.lit("")), F.lit(END * 2))
-    fields = F.concat(F.lit("page: "), F.coalesce("id", F.lit("")), F.lit(f"{END}payload-bytes: "), F.col("size").cast("string"), F.lit(END))
+    fields = F.concat(F.lit("page: "), F.coalesce("id", F.lit("")), F.lit(f"{END}payload-bytes: "), F.col("size").cast("string"), F.lit(END), F.when(F.col("again"), F.concat(F.lit("refers-to-page: "), F.col("first_id").cast("string"), F.lit(END))).otherwise(""))
     to = ("WARC-Concurrent-To", response)
     main = F.when(
         F.col("again"),
-        _record("revisit", response, F.col("url"), HTTP_RESPONSE, status, digest, ("WARC-Refers-To", F.concat(F.lit("<urn:capture:"), F.col("first_id").cast("string"), F.lit(">"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
+        _record("revisit", response, F.col("url"), HTTP_RESPONSE, status, digest, ("WARC-Refers-To", holder), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
     ).otherwise(_record("response", response, F.col("url"), HTTP_RESPONSE, F.concat(status, "html"), digest))
     records = F.array(
         _record("request", F.concat("own", F.lit(":request>")), F.col("url"), HTTP_REQUEST, request, to), main, _record("metadata", F.concat("own", F.lit(":metadata>")), F.col("url"), FIELDS, fields, to)
@@ -145,10 +149,10 @@ def captures(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
 
 def page_index(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """For each row of ``pages``, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """For each row of ``pages``, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, request_uri.
 
     A response's size and digest are those of the payload read back; a revisit has them from its
-    headers and metadata. An empty table gives an empty result.
+    headers and metadata. request_uri is what the request record of the capture asks for. An empty table gives an empty result.
     """
     got = captures(pages, min_bytes)
     kind, payload = F.col("response.type"), F.col("response.payload")
@@ -158,15 +162,16 @@ def page_index(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
         F.when(kind == "response", F.octet_length(payload)).otherwise(F.col("metadata.fields")["payload-bytes"].cast("int")).cast("long").alias("payload_bytes"),
         F.when(kind == "response", F.sha1(payload)).otherwise(F.substring_index("response.payload_digest", ":", -1)).alias("payload_digest"),
         kind.alias("record_type"),
-        F.when(kind == "revisit", F.regexp_extract("response.refers_to", "<urn:capture:(-?[0-9]+)>", 1).cast("long")).alias("refers_to"),
+        F.when(kind == "revisit", F.col("metadata.fields")["refers-to-page"].cast("long")).alias("refers_to"),
+        F.col("request.uri").alias("request_uri"),
     )
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-q AS (SELECT page_id, html, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+WITH p AS (SELECT page_id, replace(replace(coalesce(url, 'about:blank'), chr(13), '%0D'), chr(10), '%0A') AS request_uri, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, request_uri, html, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS first_id FROM p)
 SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
        CASE WHEN n >= 1000 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND first_id <> page_id THEN first_id END AS refers_to
+       CASE WHEN n >= 1000 AND first_id <> page_id THEN first_id END AS refers_to, request_uri
 FROM q
 """

@@ -49,6 +49,10 @@ def test_mixing(spark):
             assert own[0].target == pytest.approx(want[s])
             assert abs(sum(r.taken for r in own) - want[s]) <= max(r.size for r in own) / 2 + 1e-6
     assert mixing.mix(df.where("false")).count() == 0
+    # Empty documents of a source whose target is the cap aren't taken beyond it.
+    capped = spark.createDataFrame([(i, "" if i % 3 else "w w", "small") for i in range(300)] + [(1000 + i, "w " * 900, "large") for i in range(40)], "doc_id long, text string, source string")
+    small = mixing.mix(capped, weights=(1.0, 50.0)).where("doc_id < 1000").collect()
+    assert {r.copies for r in small} == {2} and small[0].target == 2 * small[0].source_size
 
 
 def test_warc_round_trip_and_transactions(spark, tmp_path):
@@ -65,6 +69,14 @@ def test_warc_round_trip_and_transactions(spark, tmp_path):
     warc.write(df, f"file://{tmp_path}/w")
     records = warc.read(spark, f"file://{tmp_path}/w")
     assert Counter(r.type for r in records.collect()) == {"request": 9, "metadata": 9, "response": 7, "revisit": 2}
+    names = {r.record_id for r in records.collect()}
+    assert len(names) == 27 and {r.refers_to for r in records.where("type = 'revisit'").collect()} == {None}  # two rows are the page that holds the payload
+    warc.write(df.dropDuplicates(), f"file://{tmp_path}/v")
+    once = warc.read(spark, f"file://{tmp_path}/v").collect()
+    named = {r.refers_to for r in once if r.type == "revisit"}
+    assert len(named) == 1 and named <= {r.record_id for r in once if r.type == "response"} and len({r.record_id for r in once}) == len(once)
+    urls = Counter(r.request_uri for r in warc.page_index(df).collect())
+    assert urls == Counter({"http://a": 1, "http://b": 2, "about:blank": 1, "http://c%0D%0AX: y": 1, "http://d": 1, "http://e": 2, "http://f": 1})
     alone = records.where("type <> 'request'")
     assert warc.assemble(alone).where("request is null and metadata is not null").count() == 9
     assert warc.page_index(df.where("false")).count() == 0
@@ -125,6 +137,10 @@ def test_quality_on_held_out_documents(spark):
     clean = [kept for kept, k in unseen if k == "good"]
     assert right > 0.95 and sum(clean) / len(clean) > 0.97
     assert all(r.kept for r in quality.classify(df, labels.where("false"), F.col("source"), F.col("lang")).collect())
+    # Alone on its path and host, a document is judged by its evidence and the global prior, not by its own posterior again.
+    lone = df.unionByName(spark.createDataFrame([(7000, rows[kinds.index("low")][1], "solo", "solo", 1, 2, 3)], "doc_id long, text string, source string, lang string, host int, none int, low int"))
+    one, same = (quality.classify(lone, labels, F.lit(h) if h else F.col("source"), F.lit(h) if h else F.col("lang")).where("doc_id = 7000").first() for h in (None, "all"))
+    assert one.p_low == pytest.approx(same.p_low, rel=0.05)
     carried = quality.classify(df, labels, F.col("source"), F.col("lang"), carry=True)
     assert carried.select("row.*").columns == df.columns
     assert quality.classify(df.where("false"), labels, F.col("source"), F.col("lang")).count() == 0
