@@ -3,8 +3,8 @@
 Equal fingerprints are one class from the start. Two fingerprints that differ in at most d of 64
 bits differ in at most d // m bits in one of m segments: each fingerprint stands in one table a
 segment, and looks up the small Hamming ball around each of its segments. What the tables return
-is verified on all 64 bits within the join, and counts only in the first segment that finds it,
-so a link is one row. m is chosen by the number of fingerprints: more rows look up longer segments
+is verified on all 64 bits within the join. Components need no link twice: a look-up first meets one entry
+of its bucket, and then only what that leaves apart. m is chosen by the number of fingerprints: more rows look up longer segments
 with larger balls, so that a table's entries stay short. Any m finds every link.
 """
 
@@ -105,8 +105,8 @@ def _piece(fp: Column, low: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
-    """Of distinct fingerprints (fp): all pairs (a, b), a < b, that differ in at most ``max_bits`` bits, each once."""
+def _tables(fps: DataFrame, max_bits: int, segments: int | None) -> tuple[DataFrame, DataFrame]:
+    """Of distinct fingerprints (fp): the segments' tables (b, s, v), and what each fingerprint looks up in them (a, s, v)."""
     m = segments or best_segments(fps.count(), max_bits)
     cut, radius = _segments(m), max_bits // m
     balls = [[sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(bits), k)] for _, bits in cut]
@@ -118,13 +118,51 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None)
         ball = F.explode(F.array(*[F.lit(x).cast("long") for x in balls[s]]))
         part = fps.select(fp.alias("a"), F.lit(s).alias("s"), ball.alias("x"), _piece(fp, *cut[s]).alias("v")).select("a", "s", F.col("v").bitwiseXOR(F.col("x")).alias("v"))
         asked = part if asked is None else asked.unionByName(part)
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(True)
-    for s in range(m - 1):
-        first = first & ((F.col("h.s") <= s) | (F.bit_count(_piece(differ, *cut[s])) > radius))
-    q, h = asked.alias("q"), held.alias("h")
-    near = (F.col("q.s") == F.col("h.s")) & (F.col("q.v") == F.col("h.v")) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & first
-    return q.join(h, near).select("a", "b")
+    return held, asked
+
+
+def _near(max_bits: int) -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+
+
+def linked(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
+    """Of distinct fingerprints (fp): (node, root) for those that a link of at most ``max_bits`` bits joins to others, the root being the smallest reachable.
+
+    First each fingerprint meets one entry of each table bucket that it looks up, its smallest: a link for each
+    look-up at most. Then only what these links leave apart meets, so a dense ball of fingerprints
+    makes a star instead of all its pairs. Every link between different components is found.
+    """
+    held, asked = _tables(fps, max_bits, segments)
+    held, asked = stage(held, "tables"), stage(asked, "lookups")
+    least = held.groupBy("s", "v").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    least = stage(least, "buckets")
+    stars = asked.join(least, ["s", "v"]).where((F.col("a") != F.col("b")) & _near(max_bits)).select("a", "b").distinct()
+    stars = stage(stars, "links")
+    roots = stage(components(stars), "roots")
+
+    # What is left: entries of buckets of two or more, that are in several components.
+    entries = held.join(least.where("n > 1").select("s", "v"), ["s", "v"]).join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    entries = stage(entries, "entries")
+    sums = entries.groupBy("s", "v", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = stage(sums.groupBy("s", "v").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")), "main")
+    outside = entries.join(main.where("parts > 1").drop("parts"), ["s", "v"]).where(F.col("root") != F.col("main")).select("s", "v", "b", F.col("root").alias("to"))
+    rooted = asked.join(main, ["s", "v"]).join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    rooted = stage(rooted.where((F.col("parts") > 1) | (F.col("root") != F.col("main"))), "askers")
+    apart = _near(max_bits) & (F.col("root") != F.col("to"))
+    # Askers of the bucket's main component meet what lies outside it; others meet all.
+    one = rooted.where("root = main").select("s", "v", "a", "root").join(stage(outside, "outside"), ["s", "v"]).where(apart)
+    two = rooted.where("root <> main").select("s", "v", "a", "root").join(entries.select("s", "v", "b", F.col("root").alias("to")), ["s", "v"]).where(apart)
+    more = stage(one.select("a", "b").unionByName(two.select("a", "b")).distinct(), "links")
+    return roots if more.isEmpty() else stage(components(stars.unionByName(more)), "roots")
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
+    """Of distinct fingerprints (fp): all pairs (a, b), a < b, that differ in at most ``max_bits`` bits, each once.
+
+    As many rows as there are such pairs: for components use ``linked``.
+    """
+    held, asked = _tables(fps, max_bits, segments)
+    return asked.join(held, ["s", "v"]).where((F.col("a") < F.col("b")) & _near(max_bits)).select("a", "b").distinct()
 
 
 def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
@@ -149,7 +187,7 @@ def _rooted(docs: DataFrame, words: int, max_bits: int, similarity: float | None
         return minhash.rooted(docs, words, similarity, id_col, text_col)
     fps = stage(fingerprints(docs, words, False, id_col, text_col), "fp")
     distinct = stage(fps.select("fp").distinct(), "fps")
-    roots = stage(components(links(distinct, max_bits)).withColumnRenamed("node", "fp"), "roots")
+    roots = linked(distinct, max_bits).withColumnRenamed("node", "fp")
     return stage(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
 
 

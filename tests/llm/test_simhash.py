@@ -29,6 +29,49 @@ def test_links_find_all_pairs_with_any_number_of_segments(spark):
         want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= d}
         got = [tuple(r) for r in simhash.links(df, d, m).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+        assert {r.node: r.root for r in simhash.linked(df, d, m).collect()} == smallest(want)
+
+
+def smallest(pairs):
+    """The smallest node that each linked node reaches."""
+    up = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {x: top(x) for x in up}
+
+
+def test_random_corpora_against_brute_force(spark):
+    for seed in range(3):
+        rnd = random.Random(seed)
+        words = [f"w{i}" for i in range(60)]
+        rows = []
+        for i in range(60):
+            base = rows[rnd.randrange(len(rows))][1].split() if rows and rnd.random() < 0.7 else [rnd.choice(words) for _ in range(rnd.randint(0, 120))]
+            if base:
+                base[rnd.randrange(len(base))] = rnd.choice(words)
+            rows.append((100 - i, " ".join(base)))
+        prints = {i: brute(t) for i, t in rows}
+        pairs = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+        want = {i: i for i in prints} | smallest(pairs)
+        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want and {r.doc_id: r.fp % 2**64 for r in got} == prints
+        assert len(set(want.values())) < 60
+
+
+def test_a_dense_ball_makes_no_square(spark):
+    rnd = random.Random(1)
+    base = rnd.getrandbits(63)
+    fps = {base ^ (1 << rnd.randrange(60)) ^ (1 << rnd.randrange(60)) for _ in range(900)}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = simhash.linked(df, 4).collect()
+    assert len(got) == len(fps) and {r.root for r in got} == {min(fps)}
 
 
 def test_components_and_edge_cases(spark):
