@@ -8,14 +8,17 @@ nearer than the k-th found, d, only with a probability below 1 - ``stop`` (chi-s
 
 A kd-tree over at most ``sample`` sampled projections deals the space into at most MAX_CELLS
 cells; every vector is put in its cell. A cell of more than ``block_rows`` rows is salted into
-blocks, so copies of one vector make many blocks, none large. Each block has its own kd-tree,
-whose leaves are visited by projected distance. A query first searches one block of its own cell,
-which bounds d; then it goes only to the blocks of cells that pass the test with that bound.
-Queries meet a block in groups of a bounded number.
+blocks, so copies of one vector make many blocks, none large. Each block has its own kd-tree. A
+query walks it from the nearest box on, and its rows come out in the order of their projected
+distance: a row is verified as soon as no box or row nearer to the query is left, until the next
+one passes the test. A query first searches one block of its own cell, which bounds d; then it
+goes only to the blocks of cells that pass the test with that bound. Each vector is sent to its
+block once; the queries follow it in the same partition and are read as a stream.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-DIMS, STOP, SAMPLE, BLOCK_ROWS, LEAF, MAX_CELLS, QUERIES_AT_ONCE, SEED = 8, 0.98, 20_000, 20_000, 64, 4096, 5_000, 7
+DIMS, STOP, SAMPLE, BLOCK_ROWS, LEAF, VERIFY, MAX_CELLS, SEED = 8, 0.95, 20_000, 5_000, 128, 64, 4096, 7
 
 
 def chi_square(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -90,37 +93,62 @@ def descend(nodes: list[tuple[int, float, int, int]], points: np.ndarray) -> np.
     return out
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, ratio: float, g: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its place): the ids and distances of the nearest rows found in one block; rows of the query's own id don't count."""
-    low_dim = vectors @ g
-    _, leaves = tree(low_dim, LEAF)
-    order = np.concatenate(leaves)
-    ids, vectors = ids[order], vectors[order]
-    ends = np.cumsum([len(x) for x in leaves])
-    starts = ends - [len(x) for x in leaves]
-    low_dim = low_dim[order]
-    lows = np.array([low_dim[a:b].min(0) for a, b in zip(starts, ends, strict=True)])
-    highs = np.array([low_dim[a:b].max(0) for a, b in zip(starts, ends, strict=True)])
-    for i, (own, q, p) in enumerate(zip(query_ids, queries, queries @ g, strict=True)):
-        off = np.maximum(np.maximum(lows - p, p - highs), 0)
-        r = np.sqrt((off * off).sum(1))
-        turn = np.argsort(r, kind="stable")
-        best_d, best_i, d = np.empty(0), np.empty(0, np.int64), bounds[i]
-        for j in range(0, len(turn), 4):
-            if r[turn[j]] > ratio * d:
+class Block:
+    """A block's vectors behind a kd-tree of their projections."""
+
+    def __init__(self, rids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, g: np.ndarray):
+        low_dim = vectors @ g
+        self.nodes, leaves = tree(low_dim, LEAF)
+        order = np.concatenate(leaves)
+        self.rids, self.ids, self.vectors, self.low_dim = rids[order], ids[order], vectors[order], low_dim[order]
+        self.ends = np.cumsum([len(x) for x in leaves]).tolist()
+        self.starts = [e - len(x) for e, x in zip(self.ends, leaves, strict=True)]
+
+    def nearest(self, own: int, q: np.ndarray, p: np.ndarray, bound: float, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and distances of the ``k`` nearest rows found within ``bound``, the row ``own`` apart, and how many rows were verified."""
+        point, d, seen = p.tolist(), bound, 0
+        best_d, best_i = np.empty(0), np.empty(0, np.int64)
+        boxes: list[tuple[float, int, tuple[float, ...]]] = [(0.0, 0 if self.nodes else -1, (0.0,) * len(point))]
+        wait_r, wait_i = np.empty(0), np.empty(0, np.int64)  # rows whose projected distance is known, not yet their turn
+        while boxes or len(wait_r):
+            if boxes and boxes[0][0] <= (ratio * d) ** 2:
+                r, at, off = heapq.heappop(boxes)
+                while at >= 0:
+                    axis, cut, low, high = self.nodes[at]
+                    gap = point[axis] - cut
+                    near, far = (low, high) if gap < 0 else (high, low)
+                    beyond = r - off[axis] ** 2 + gap * gap
+                    if beyond <= (ratio * d) ** 2:
+                        heapq.heappush(boxes, (beyond, far, (*off[:axis], abs(gap), *off[axis + 1 :])))
+                    at = near
+                a, b = self.starts[-1 - at], self.ends[-1 - at]
+                gaps = self.low_dim[a:b] - p
+                rows = np.einsum("ij,ij->i", gaps, gaps)
+                wait_r, wait_i = np.concatenate([wait_r, rows]), np.concatenate([wait_i, np.arange(a, b)])
+            else:
+                boxes = []
+            while len(wait_r):
+                most = min(boxes[0][0] if boxes else np.inf, (ratio * d) ** 2)
+                turn = np.flatnonzero(wait_r <= most)
+                if not len(turn):
+                    break
+                if len(turn) > VERIFY:
+                    turn = turn[np.argpartition(wait_r[turn], VERIFY)[:VERIFY]]
+                rows = wait_i[turn]
+                wait_r, wait_i = np.delete(wait_r, turn), np.delete(wait_i, turn)
+                seen += len(rows)
+                diff = self.vectors[rows] - q
+                dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                good = (dist <= d) & (self.rids[rows] != own)
+                best_d, best_i = np.concatenate([best_d, dist[good]]), np.concatenate([best_i, self.ids[rows[good]]])
+                if len(best_d) >= k:
+                    top = np.lexsort((best_i, best_d))[:k]
+                    best_d, best_i = best_d[top], best_i[top]
+                    d = min(d, float(best_d[-1]))
+            if not boxes:
                 break
-            rows = np.concatenate([np.arange(starts[t], ends[t]) for t in turn[j : j + 4]])
-            diff = vectors[rows] - q
-            dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            near = (dist <= d) & (ids[rows] != own)
-            best_d, best_i = np.concatenate([best_d, dist[near]]), np.concatenate([best_i, ids[rows[near]]])
-            if len(best_d) > k:
-                top = np.lexsort((best_i, best_d))[:k]
-                best_d, best_i = best_d[top], best_i[top]
-            if len(best_d) == k:
-                d = min(d, best_d.max())
         top = np.lexsort((best_i, best_d))[:k]
-        yield i, best_i[top], best_d[top]
+        return best_i[top], best_d[top], seen
 
 
 def _usable(v: Column) -> Column:
@@ -133,18 +161,19 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 10, dims: int = DIMS, stop: float = STOP, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, is_query: Column, k: int = 10, dims: int = DIMS, stop: float = STOP, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
+    with_work: bool = False,
 ) -> DataFrame:
-    """The ``k`` nearest rows found for each row of ``vectors`` where ``is_query`` holds: query_id, rank, vec_id, score.
+    """The ``k`` nearest rows found for each row of ``vectors`` where ``is_query`` holds: query_id, rank, vec_id, score (and ``verified``, how many rows the query compared, on request).
 
     score is the Euclidean distance of the vectors in double precision; ties go to the smaller id.
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
-    with a null id or of another length than most vectors. Rows with the query's own id are no candidates; a query id
-    that is repeated is answered for its first row found. Fewer candidates than ``k`` are all returned.
+    with a null id or of another length than most vectors. Only the query's own row is no candidate: rows that repeat
+    its id are, and are answered each on its own. Fewer candidates than ``k`` are all returned.
     An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    result = "query_id long, rank int, vec_id long, score double"
+    result = "query_id long, rank int, vec_id long, score double" + ", verified long" * with_work
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     widths = slim.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("width")).limit(1).collect()
     if not widths:
@@ -165,55 +194,82 @@ def nearest(
                 p = _matrix(b["v"]) @ g
                 yield b.assign(p=list(p), cell=descend(nodes, p))
 
-    placed = stage(slim.mapInPandas(place, "vec_id long, v array<double>, asks boolean, p array<double>, cell int"), "placed")
+    rows = slim.withColumn("rid", F.monotonically_increasing_id())
+    placed = stage(rows.mapInPandas(place, "vec_id long, v array<double>, asks boolean, rid long, p array<double>, cell int"), "placed")
     sides = [f(F.col("p")[i]).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(dims)]
     boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *sides).toPandas().sort_values("cell")  # MAX_CELLS rows or so at most
     numbers = boxes["cell"].to_numpy()
     lows, highs = (boxes[[f"{n}{i}" for i in range(dims)]].to_numpy(float) for n in ("low", "high"))
     salts = np.maximum(1, np.ceil(boxes["n"].to_numpy() / block_rows)).astype(int)
     first = np.cumsum(salts) - salts
-    asked = placed.where("asks").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "p", "cell")
-    groups = max(1, math.ceil(placed.where("asks").count() / QUERIES_AT_ONCE))
+    names = ["block", "asks", "rid", "vec_id", "v", "bound"]
+    sent = "block int, asks boolean, rid long, vec_id long, v array<double>, bound double"
 
     def block_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 at = np.searchsorted(numbers, b["cell"].to_numpy())
-                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "block": first[at] + b["h"].to_numpy() % salts[at]})
+                yield pd.DataFrame({"block": first[at] + b["h"].to_numpy() % salts[at], "asks": False, "rid": b["rid"], "vec_id": b["vec_id"], "v": b["v"], "bound": np.inf})
 
-    blocks = placed.select("vec_id", "v", "cell", F.shiftrightunsigned(F.xxhash64("vec_id"), 1).alias("h")).mapInPandas(block_of, "vec_id long, v array<double>, block int")
+    blocks = placed.select("rid", "vec_id", "v", "cell", F.shiftrightunsigned(F.xxhash64("rid"), 1).alias("h")).mapInPandas(block_of, sent)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A query's blocks: one of its own cell without a bound, else all of the cells that pass the test."""
         for b in batches:
-            for i in range(len(b)):
-                r, p = b.iloc[i], np.asarray(b["p"].iloc[i])
-                if pd.isna(r["bound"]):
-                    at = int(np.searchsorted(numbers, r["cell"]))
-                    to = [first[at] + r["query_id"] % salts[at]]
+            made: list[tuple] = []
+            for rid, vec_id, v, p, cell, bound in zip(b["rid"], b["vec_id"], b["v"], b["p"], b["cell"], b["bound"], strict=True):
+                if pd.isna(bound):
+                    at, bound = int(np.searchsorted(numbers, cell)), np.inf
+                    to = [first[at] + rid % salts[at]]
                 else:
                     off = np.maximum(np.maximum(lows - p, p - highs), 0)
-                    ok = np.sqrt((off * off).sum(1)) <= ratio * r["bound"]
+                    ok = np.sqrt((off * off).sum(1)) <= ratio * bound
                     to = np.concatenate([np.arange(first[at], first[at] + salts[at]) for at in np.flatnonzero(ok)])
-                yield pd.DataFrame({"query_id": r["query_id"], "q": [r["q"]] * len(to), "bound": np.inf if pd.isna(r["bound"]) else r["bound"], "block": np.asarray(to, np.int32), "part": int(r["query_id"] // 7 % groups)})
-
-    def meet(rows: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(who):
-            ids = who["query_id"].to_numpy()
-            for i, near, dist in search(rows["vec_id"].to_numpy(), _matrix(rows["v"]), ids, _matrix(who["q"]), who["bound"].to_numpy(float), k, ratio, g):
-                out.append(pd.DataFrame({"query_id": ids[i], "vec_id": near, "score": dist}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=np.int64), "vec_id": pd.Series(dtype=np.int64), "score": pd.Series(dtype=float)})
+                made += [(int(x), True, rid, vec_id, v, bound) for x in to]
+                while len(made) >= 5000:
+                    yield pd.DataFrame(made[:5000], columns=names)
+                    made = made[5000:]
+            if made:
+                yield pd.DataFrame(made, columns=names)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block's rows, then its queries, in a partition sorted so."""
+        now, held, built = None, [], None
+        for b in batches:
+            block, asks = b["block"].to_numpy(), b["asks"].to_numpy(bool)
+            cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1).tolist(), len(b)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a == z:
+                    continue
+                if block[a] != now:
+                    now, held, built = block[a], [], None
+                run = b.iloc[a:z]
+                if not asks[a]:
+                    held.append(run)
+                    continue
+                if built is None:
+                    if not held:
+                        continue
+                    rows = pd.concat(held)
+                    built, held = Block(rows["rid"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["v"]), g), [run.iloc[:0]]
+                q = _matrix(run["v"])
+                out = [built.nearest(own, x, p, bound, k, ratio) for own, x, p, bound in zip(run["rid"].tolist(), q, q @ g, run["bound"].tolist(), strict=True)]
+                sizes = [len(i) for i, _, _ in out]
+                work = [n if j == 0 else 0 for size, (_, _, n) in zip(sizes, out, strict=True) for j in range(size)]
+                yield pd.DataFrame({"rid": run["rid"].repeat(sizes), "query_id": run["vec_id"].repeat(sizes), "vec_id": np.concatenate([i for i, _, _ in out]), "score": np.concatenate([d for _, d, _ in out]), "verified": np.array(work, np.int64)})
 
     def ask(who: DataFrame) -> DataFrame:
-        sent = who.mapInPandas(visits, "query_id long, q array<double>, bound double, block int, part int")
-        dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else blocks.withColumn("part", F.lit(0))
-        return dealt.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInPandas(meet, "query_id long, vec_id long, score double")
+        dealt = blocks.unionByName(who.mapInPandas(visits, sent)).repartition("block").sortWithinPartitions("block", "asks")
+        return dealt.mapInPandas(meet, "rid long, query_id long, vec_id long, score double, verified long")
 
+    asked = placed.where("asks").select("rid", "vec_id", "v", "p", "cell")
     start = ask(asked.withColumn("bound", F.lit(None).cast("double")))
-    bound = start.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+    bound = start.groupBy("rid").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
     # bound: no query without one, for a query whose own block holds no other row goes everywhere
-    bounded = stage(asked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).select("query_id", "q", "p", "cell", "bound"), "bounds")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = ask(bounded).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    bounded = stage(asked.join(bound, "rid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "bounds")
+    mine = Window.partitionBy("rid")
+    found = ask(bounded)
+    if with_work:
+        found = found.withColumn("verified", F.sum("verified").over(mine))
+    ranked = found.withColumn("rank", F.row_number().over(mine.orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *["verified"] * with_work)

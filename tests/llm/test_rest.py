@@ -104,11 +104,30 @@ def test_nearest_against_brute_force(spark):
         assert all(abs(s - d[v]) < 1e-9 for _, v, s in found)
         hits += len({v for _, v, _ in found} & set(best.tolist()))
     assert hits / (10 * len(got)) >= 0.9
+    # Rows that repeat a query's id are candidates, and are answered each on its own.
+    again = ann.nearest(df.where("vec_id < 4").unionByName(df.where("vec_id = 0")), F.col("vec_id") == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id if r.rank == 1 else 0) for r in again) == sorted([(0, i, 0) for i in (1, 2, 3, 4)] * 2) and {r.score for r in again if r.rank == 1} == {0.0}
     few = ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert sorted((r.rank, r.query_id) for r in few) == [(1, 0), (2, 0), (3, 0)]
     assert ann.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_stops_where_the_data_allow(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32)) * 10
+    base = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.nearest(df, F.col("vec_id") % 40 == 0, block_rows=500, with_work=True).collect()
+    work = {r.query_id: r.verified for r in got}
+    assert len(work) == 100 and sum(work.values()) / 100 < 0.2 * 4000
+    hits = 0
+    for q in work:
+        d = np.sqrt(((base - base[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 900
+
+
 def test_chi_square():
     # Known quantiles for 8 degrees of freedom.
     assert ann.chi_square(np.array([15.507, 20.090])) == pytest.approx([0.95, 0.99], abs=1e-4)
