@@ -5,37 +5,55 @@ classes of their own; all others fall into hashed buckets, within which a word h
 share of the bucket. So the model's tables have a fixed size while the counts behind them grow with
 the corpus, and the probabilities of all known words and of one unknown word a bucket sum to one.
 
-Baum-Welch: the start is fitted on at most INIT_DOCS documents; then each pass runs the scaled
-forward and backward recursions over all training texts and sums expected counts across
+Baum-Welch: from seeded emissions about the unigram and states that tend to stay, each of PASSES passes
+runs the scaled forward and backward recursions over all training texts and sums expected counts across
 partitions. Scoring is the scaled forward recursion over each whole text, in double precision.
+Texts are split, and a slice's distinct words found, by Arrow; each is looked up once a slice.
 
-A word's count is looked up in the DICTIONARY commonest words within the task; all other words of
+A word's count is looked up in at most DICTIONARY of the commonest words within the task; all other words of
 a document are rows that join the counts, so none is left out.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
-STATES, OWN, BUCKETS, DICTIONARY, INIT_DOCS, INIT_TOKENS, INIT_ROUNDS, PASSES, SEED = 8, 3000, 1024, 200_000, 2000, 2000, 12, 2, 17
+STATES, OWN, BUCKETS, DICTIONARY, PASSES, SEED = 8, 3000, 1024, 200_000, 4, 17
+# The start: how far emissions differ from the unigram (of the logarithm), and how likely a state stays.
+SPREAD, STAYS = 1.0, 0.97
 CLASSES = OWN + BUCKETS
 END = b"\n"
-#: Entries of a task's running counts, and tokens that the recursions hold at once.
-FLUSH, HELD = 300_000, 1_000_000
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """A-Z in lower case, words between ASCII white space, then the end."""
-    return [*text.encode().lower().split(), END] if isinstance(text, str) else [END]
+#: Entries of a task's running counts, tokens that the recursions hold at once, and bytes of text that are split at once.
+FLUSH, HELD, SLICE = 1_000_000, 1_000_000, 16_000_000
+
+
+def split_words(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """Of slices of texts: (from, to, distinct words, the words' places among them, how many words each text has). A-Z in lower case; words are what lies between ASCII white space."""
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, before + SLICE, "right")))
+        lists = pc.ascii_split_whitespace(texts.slice(at, to - at))
+        found = lists.flatten().dictionary_encode()
+        codes, sizes = found.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        empty = pc.index(found.dictionary, "").as_py()  # before the first and after the last white space
+        if empty >= 0:
+            there = codes != empty
+            sizes = np.diff(np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(sizes)])])
+            codes = codes[there]
+        yield at, to, found.dictionary.cast(pa.binary()), codes, sizes
+        at, before = to, int(upto[to - 1])
 
 
 def bucket(word: bytes) -> int:
@@ -45,17 +63,40 @@ def bucket(word: bytes) -> int:
 def count_words(texts: DataFrame) -> DataFrame:
     """Of (text): (word, n) over all tokens. Each task adds up what it reads before anything is shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[bytes] = Counter()
-        for b in batches:
-            for t in b["text"]:
-                seen.update(tokens(t))
-                if len(seen) > FLUSH:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            made = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return pa.table({"word": made["word"], "n": made["n_sum"]})
 
-    return texts.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for b in batches:
+            if b.num_rows:
+                held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([b.num_rows], pa.int64())}))
+            for _, _, words, codes, _ in split_words(b.column(0)):
+                n = np.bincount(codes, minlength=len(words))
+                held.append(pa.table({"word": words.filter(pa.array(n > 0)), "n": pa.array(n[n > 0].astype(np.int64))}))
+                if sum(t.num_rows for t in held) > FLUSH:
+                    held = [summed()]
+                    if held[0].num_rows > FLUSH // 2:
+                        yield from held[0].to_batches()
+                        held = []
+        if held:
+            yield from summed().to_batches()
+
+    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """Of (word, n): ``most`` words at most, all those above a count; a histogram of some hundred rows finds the count, so no task sends more than its share to the driver."""
+    level = F.floor(F.log2("n") * 16)
+    least, total = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).collect(), key=lambda r: -r["level"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    return counts.where(F.col("n") >= least) if least else counts.limit(0)
 
 
 class Lexicon:
@@ -79,30 +120,37 @@ def read_classes(docs: DataFrame, lexicon) -> DataFrame:
     """Of (rid, doc_id, held_out, text): classes of the tokens as 16-bit numbers, sums over dictionary words, and the other words with their counts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         get = lex.at.get
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                b, out = whole.iloc[at : at + 500], []
-                for text in b["text"]:
-                    words = tokens(text)
-                    i = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                    known = i >= 0
-                    seq = lex.cls[i] if len(lex.cls) else np.zeros(len(words), np.uint16)
-                    share = float(lex.log_share[i[known]].sum()) if len(lex.cls) else 0.0
-                    rare: Counter[bytes] = Counter()
-                    if not known.all():
-                        rest = np.flatnonzero(~known).tolist()
-                        b_of = np.fromiter((bucket(words[j]) for j in rest), np.int64, len(rest))
-                        seq[rest] = b_of
-                        share -= float(lex.log_size[b_of - OWN].sum())
-                        rare.update(words[j] for j in rest)
-                    out.append((seq.astype("<u2").tobytes(), len(words), int(known.sum()), float(lex.log_count[i[known]].sum()) if len(lex.cls) else 0.0, share, list(rare), list(rare.values())))
-                made = pd.DataFrame(out, columns=["seq", "n_tokens", "known", "base", "share", "rare", "times"], index=b.index)
-                yield pd.concat([b[["rid", "doc_id", "held_out"]], made], axis=1)
-
-    return docs.mapInPandas(run, f"rid long, doc_id {kind}, held_out boolean, seq binary, n_tokens long, known long, base double, share double, rare array<binary>, times array<long>")
+        for b in batches:
+            for at, to, words, codes, sizes in split_words(b.column(3)):
+                names, rows = [*words.to_pylist(), END], to - at
+                # The end is a word after all others of its text.
+                codes = np.insert(codes.astype(np.int64), np.cumsum(sizes), len(names) - 1)
+                sizes = sizes + 1
+                i = np.fromiter((get(w, -1) for w in names), np.int64, len(names))
+                known, new = i >= 0, np.flatnonzero(i < 0)
+                cls, log_count, log_share = np.zeros(len(names), np.int64), np.zeros(len(names)), np.zeros(len(names))
+                cls[known], log_count[known], log_share[known] = (x[i[known]] for x in (lex.cls, lex.log_count, lex.log_share)) if known.any() else (0, 0, 0)
+                cls[new] = [bucket(names[j]) for j in new.tolist()]
+                log_share[new] = -lex.log_size[cls[new] - OWN]
+                row = np.repeat(np.arange(rows), sizes)
+                sums = [np.bincount(row, weights=x[codes], minlength=rows) for x in (known, log_count, log_share)]
+                rare = np.flatnonzero(~known[codes])
+                pair, times = np.unique(row[rare] * len(names) + codes[rare], return_counts=True)
+                begins = pa.array(np.searchsorted(pair // len(names), np.arange(rows + 1)).astype(np.int32))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 2
+                seq = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(cls[codes].astype("<u2").tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[b.column(k).slice(at, rows) for k in range(3)], seq, pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
+                        pa.ListArray.from_arrays(begins, pa.concat_arrays([words, pa.array([END], pa.binary())]).take(pa.array(pair % len(names)))), pa.ListArray.from_arrays(begins, pa.array(times.astype(np.int64))),
+                    ],
+                    ["rid", "doc_id", "held_out", "seq", "n_tokens", "known", "base", "share", "rare", "times"],
+                )
+
+    return docs.mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, seq binary, n_tokens long, known long, base double, share double, rare array<binary>, times array<long>")
 
 
 class Model:
@@ -113,9 +161,9 @@ class Model:
     @classmethod
     def first(cls, unigram: np.ndarray, states: int = STATES) -> Model:
         rng = np.random.default_rng(SEED)
-        emit = unigram[:, None] * np.exp(rng.normal(0, 0.5, (len(unigram), states)))
-        move = np.full((states, states), 0.1 / max(1, states - 1))
-        np.fill_diagonal(move, 0.9)
+        emit = unigram[:, None] * np.exp(rng.normal(0, SPREAD, (len(unigram), states)))
+        move = np.full((states, states), (1 - STAYS) / max(1, states - 1))
+        np.fill_diagonal(move, STAYS)
         return cls(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
     @classmethod
@@ -223,13 +271,6 @@ def baum_welch(training: DataFrame, model: Model, unigram: np.ndarray) -> Model:
     return Model.of_counts(counts, unigram, len(model.start))
 
 
-def fit_start(sample: list[np.ndarray], unigram: np.ndarray, states: int = STATES) -> Model:
-    model = Model.first(unigram, states)
-    for _ in range(INIT_ROUNDS if sample else 0):
-        model = Model.of_counts(expected(model, sample), unigram, states)
-    return model
-
-
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -243,7 +284,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts = stage(count_words(base.where(~F.col("held_out"))), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).toPandas()
+    top = commonest(counts, DICTIONARY).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words, known = [bytes(w) for w in top["word"]], top["n"].to_numpy(float)
     sizes = counts.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).toPandas()
     in_words, in_tokens = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -255,8 +296,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = stage(read_classes(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text"), sc.broadcast(lex)), "classes")
 
     training = rows.where(~F.col("held_out"))
-    sample = training.where(F.col("n_tokens") <= INIT_TOKENS).select("seq", F.xxhash64("doc_id", "seq").alias("h")).orderBy("h").limit(INIT_DOCS).toPandas()
-    model = fit_start([np.frombuffer(x, "<u2") for x in sample["seq"]], lex.unigram, states)
+    model = Model.first(lex.unigram, states)
     for _ in range(passes if total["n"] else 0):
         model = baum_welch(training, model, lex.unigram)
     shared = sc.broadcast(model)
