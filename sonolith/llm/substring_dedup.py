@@ -10,11 +10,15 @@ Within a gram's group the classes are sorted twice, by what follows the anchor a
 it, read backwards. That is deep-shallow sorting: a multikey sort on the first SHALLOW bytes; groups
 that are still tied have long common prefixes and are ordered by blind tries. The sorted neighbours' common
 prefixes number the classes at each depth; a window repeats if another class agrees with it on both
-sides, to the depths at which the window starts and ends. Bytes are compared throughout: hashes only bring rows together.
+sides, to the depths at which the window starts and ends. Equal contexts are found by a gram's 64-bit
+hash and a 64-bit digest of the context together; different contexts are told apart byte by byte.
 
 Skew: a gram's repeats are counted by partial aggregation, and joins are sort-merge joins against
-stored tables, whose hot partitions adaptive execution splits. A group of more than HOT classes is not
-sorted in one task: its windows become rows, counted by a 128-bit digest with partial aggregation.
+stored tables, whose hot partitions adaptive execution splits. A group of more than ``hot`` classes
+is split by further bytes, as in a radix sort: its windows by where they start, in PARTS ranges, and then by
+all bytes that every window of a range has, so that only contexts that can share a window of the range
+stay together. Within a range contexts that agree in all bytes of its windows are one class again. Parts that are
+still hot are split on, down to single windows; all others are sorted as any group is.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_of
 
-LENGTH, GRAM, SHALLOW, HOT, AT_ONCE = 400, 100, 16, 60_000, 20_000
+LENGTH, GRAM, SHALLOW, HOT, PARTS, AT_ONCE = 400, 100, 16, 1_500, 4, 20_000
 CHUNK, PLACE_BITS = 1 << 20, 21
 _ODD = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -164,10 +168,11 @@ def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np
     return order, common
 
 
-def repeated_windows(group: np.ndarray, before: np.ndarray, after: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def repeated_windows(group: np.ndarray, before: np.ndarray, after: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
     """Whether the window that starts d bytes before the anchor (a column for each d) repeats in another class of its group.
 
     before: the bytes before the anchor, read backwards, ``left`` of them real; after: those from the anchor on, ``right`` real.
+    Only windows from ``lo`` to ``hi`` (not included) bytes before the anchor count; a group's rows agree in both.
     """
     n, reach, length = len(group), before.shape[1], after.shape[1]
     out = np.zeros((n, reach + 1), bool)
@@ -179,8 +184,8 @@ def repeated_windows(group: np.ndarray, before: np.ndarray, after: np.ndarray, l
         back[order] = most
         sides.append((order, common, back))
     (l_order, l_common, l_most), (r_order, r_common, r_most) = sides
-    low = np.maximum(0, length - np.minimum(r_most, right))
-    high = np.minimum(l_most, left)
+    low = np.maximum(lo, length - np.minimum(r_most, right))
+    high = np.minimum(np.minimum(l_most, left), reach if hi is None else np.asarray(hi) - 1)
     l_class, r_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(reach + 1):
         rows = np.flatnonzero((low <= d) & (d <= high))
@@ -253,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 for at in range(0, len(made), 2000):
                     yield pd.DataFrame(made[at : at + 2000], columns=["g", "c", "times", "lead", "context"])
 
-    shown = stage(_text_with(docs, wanted, "inner").select("text", "wanted").mapInPandas(contexts, "g long, c long, times long, lead int, context binary"), "contexts")
+    shown = stage(_text_with(_once(docs), wanted, "inner").select("text", "wanted").mapInPandas(contexts, "g long, c long, times long, lead int, context binary"), "contexts")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         n = len(rows)
@@ -264,16 +269,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             before[i, :lead] = x[:lead][::-1]
             right[i] = len(x) - lead
             after[i, : right[i]] = x[lead:]
-        group = np.unique(rows["g"].to_numpy(), return_inverse=True)[1]
-        windows = repeated_windows(group, before, after, left, right)
+        group = rows.groupby(["g", "lo", "k"]).ngroup().to_numpy()
+        lo, hi = rows["lo"].to_numpy(np.int64), rows["hi"].to_numpy(np.int64)
+        windows = repeated_windows(group, before, after, left, right, lo, hi)
         d = np.arange(reach + 1)
         several = rows["times"].to_numpy() > 1
-        windows[several] = ((d >= length - right[:, None]) & (d <= left[:, None]))[several]
+        windows[several] = ((d >= np.maximum(lo, length - right)[:, None]) & (d <= np.minimum(left, hi - 1)[:, None]))[several]
         a, b = _spans(windows, length)
-        return pd.DataFrame({"g": rows["g"].to_numpy(), "c": rows["c"].to_numpy(), "a": a, "b": b})[windows.any(1)]
+        return rows[["g", "lo", "u"]].assign(a=a, b=b)[windows.any(1)]
 
     def sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole groups of a partition sorted by gram, some thousands of rows at once."""
+        """Whole groups of a sorted partition, some thousands of rows at once."""
         held: list[pd.DataFrame] = []
         size = 0
         for b in batches:
@@ -283,34 +289,71 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             size += len(b)
             if size >= AT_ONCE:
                 rows = pd.concat(held, ignore_index=True)
-                last = rows["g"].to_numpy() == rows["g"].iloc[-1]
+                last = (rows[["g", "lo", "k"]] == rows[["g", "lo", "k"]].iloc[-1]).all(axis=1).to_numpy()
                 if not last.all():
                     yield solve(rows[~last])
                 held, size = [rows[last]], int(last.sum())
         if held:
             yield solve(pd.concat(held, ignore_index=True))
 
+    def ordered(rows: DataFrame) -> DataFrame:
+        """Of (g, lo, hi, k, u, times, lead, context): (g, lo, u, a, b), the span of each class's repeated windows."""
+        return rows.repartition("g", "lo", "k").sortWithinPartitions("g", "lo", "k").mapInPandas(sorted_groups, "g long, lo int, u long, a long, b long")
+
     # At most classes / hot grams are hot, and a row of them is one number: small against a task's memory.
     hot_grams = stage(classes.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("g"), "hot")
-    cool = shown.join(hot_grams, "g", "left_anti").repartition("g").sortWithinPartitions("g")
-    solved = cool.mapInPandas(sorted_groups, "g long, c long, a long, b long")
+    mixed = hits.where("mixed")
+    zero = F.lit(0)
+    cool = shown.join(hot_grams, "g", "left_anti").select("g", zero.alias("lo"), F.lit(reach + 1).alias("hi"), zero.cast("long").alias("k"), F.col("c").alias("u"), "times", "lead", "context")
+    solved = stage(ordered(cool), "solved")
+    ends = [solved.select("g", F.col("u").alias("c"), "a", "b")]
     if not hot_grams.isEmpty():
 
-        def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for g, c, times, lead, raw in zip(b["g"], b["c"], b["times"], b["lead"], b["context"], strict=True):
-                    d = np.arange(max(0, length - len(raw) + lead), lead + 1)
-                    digests = [xxhash.xxh3_128_digest(raw[lead - x : lead - x + length]) for x in d.tolist()]
-                    yield pd.DataFrame({"g": g, "c": c, "d": d, "w": digests, "times": times})
-
-        windows = shown.join(hot_grams, "g", "left_semi").mapInPandas(slices, "g long, c long, d int, w binary, times long")
-        again = stage(windows.groupBy("g", "d", "w").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("g", "d", "w"), "again")
-        ends = windows.join(again, ["g", "d", "w"]).groupBy("g", "c").agg((-F.max("d")).cast("long").alias("a"), (length - F.min("d")).cast("long").alias("b"))
-        solved = solved.unionByName(ends)
-    solved = stage(solved, "solved")
-    parts = hits.where("mixed").join(solved, ["g", "c"])
+                out = []
+                for g, c, times, lead, raw, lo, hi in zip(b["g"], b["c"], b["times"], b["lead"], b["context"], b["lo"], b["hi"], strict=True):
+                    right = len(raw) - lead
+                    cuts = sorted({lo + (hi - lo) * i // PARTS for i in range(PARTS + 1)})
+                    for x, y in zip(cuts, cuts[1:], strict=False):
+                        if max(x, length - right) <= min(y - 1, lead):
+                            before, after = min(y - 1, lead), min(length - x, right)
+                            k, u = xxhash.xxh3_64_intdigest(raw[lead - x : lead + length - y + 1]), xxhash.xxh3_64_intdigest(raw[lead - before : lead + after], seed=before)
+                            out.append((g, c, times, x, y, k - 2**63, u - 2**63))
+                yield pd.DataFrame(out, columns=["g", "c", "times", "lo", "hi", "k", "u"])
+
+        group = ["g", "lo", "hi", "k"]
+        active = hot_grams.select("g", zero.alias("lo"), F.lit(reach + 1).alias("hi"))
+        todo = classes.join(active, "g").select("g", "c", "lo", "hi")
+        while not todo.isEmpty():
+            tags = stage(shown.join(todo, ["g", "c"]).mapInPandas(split, "g long, c long, times long, lo int, hi int, k long, u long"), "tags")
+            kinds = stage(tags.groupBy(*group, "u").agg(F.sum("times").alias("times"), F.min("c").alias("c")), "kinds")
+            sizes = stage(kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("m"), F.sum("times").alias("all")).where("all > 1").drop("all"), "sizes")
+            small = kinds.join(sizes.where(F.col("m") <= hot).drop("m"), group)
+            found_here = stage(ordered(small.join(shown.select("g", "c", "lead", "context"), ["g", "c"]).select(*group, "u", "times", "lead", "context")), "solved")
+            ends.append(tags.join(found_here, ["g", "lo", "u"]).select("g", "c", "a", "b"))
+            todo = stage(tags.join(sizes.where(F.col("m") > hot).drop("m"), group).select("g", "c", "lo", "hi"), "todo")
+    every = ends[0]
+    for more in ends[1:]:
+        every = every.unionByName(more)
+    if len(ends) > 1:
+        # A context's windows from several ranges: they all hold the anchor, so they are one span.
+        every = stage(every.groupBy("g", "c").agg(F.min("a").alias("a"), F.max("b").alias("b")), "ends")
+    parts = mixed.join(every, ["g", "c"])
     spans = spans.unionByName(parts.select("doc_id", "th", F.struct((F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b")).alias("span")))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
+    # Rows alike in id and text have the same spans: a set has each once.
+    return spans.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One of the rows that are alike in id and text."""
+    again = stage(docs.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
+    if again.isEmpty():
+        return docs
+    a = again.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"))
+    same = docs["doc_id"].eqNullSafe(a["a_id"]) & (docs["th"] == a["a_th"])
+    first = docs.join(a, same, "left_semi").groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    return docs.join(a, same, "left_anti").unionByName(first.select(*docs.columns))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

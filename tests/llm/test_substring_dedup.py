@@ -53,6 +53,21 @@ def test_whole_operator_against_counting_all_windows(spark):
     assert sd.substring_dedup(df.where("false")).count() == 0
 
 
+def test_length_of_the_query_with_long_texts_repeated_rows_and_a_hot_passage(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(1, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    hot, long = prose(120), prose(6000)
+    rows = [(i, f"{prose(rnd.randint(0, 40))} {hot[rnd.randint(0, 60) : len(hot) - rnd.randint(0, 90)]} {prose(rnd.randint(0, 40))}") for i in range(60)]
+    rows += [(100, long), (101, long[9000:21000] + prose(50)), (102, prose(20) + long[200:599] + prose(9)), (103, prose(20) + long[700:1100] + prose(9))]
+    rows += [(200, f"{prose(30)} {hot}")] + [(201, rows[3][1] + prose(80))] * 150 + [(None, prose(90))] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for limit in (1500, 8):
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.substring_dedup(df, hot=limit).collect()]
+        assert sorted(got, key=str) == brute(rows, 400)
+    assert sum(r[2] > 0 for r in brute(rows, 400)) > 200
+
+
 def test_deep_shallow_order_and_common_prefixes():
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 2, (400, 60), dtype=np.uint8)
