@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import release, stage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (u, v) with u > v, each node's neighbours hung on the smallest of them and itself."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with u > v, each node's neighbours hung on the smallest of them and itself; and the staged table that they are made with."""
     sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = stage(sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
     both = sides.join(least, "u")
@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        edges = stage(_star(_star(edges, True), False), "stars")
+        large, first = _star(edges, True)
+        small, second = _star(large, False)
+        made = stage(small, "stars")
+        release(first, second, edges)
+        edges = made
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -21,7 +21,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "kept_chars")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

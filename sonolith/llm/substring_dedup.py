@@ -367,13 +367,13 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and ``kept``, the bytes that stay, on request).
+def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, with_text: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and ``kept``, the bytes that stay, or ``kept_text`` and ``kept_chars``, on request).
 
     Every byte goes that a string of ``length`` bytes covers which also starts anywhere else, in the
     same document or another; texts are UTF-8 bytes, and a match never crosses documents. A null text
     is empty. Repeated rows repeat each other. What stays may be no valid UTF-8. An empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored. In kept_text half characters at the ends of what stays are left out.
     """
     keyed = _key(docs, id_col, text_col)
     found = repeated_spans(keyed, length, gram, hot)
@@ -388,10 +388,10 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                     runs = merge([(s["a"], s["b"]) for s in spans]) if spans is not None else []
                     ends = [0, *[x for r in runs for x in r], len(raw)]
                     kept = b"".join(raw[a:z] for a, z in zip(ends[::2], ends[1::2], strict=True)) if runs else raw
-                    out.append((len(raw), sum(z - a for a, z in runs), len(runs), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": z} for a, z in runs], *([kept] if with_bytes else [])))
-                made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_bytes)
+                    out.append((len(raw), sum(z - a for a, z in runs), len(runs), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": z} for a, z in runs], *([kept] if with_bytes else []), *((left := kept.decode("utf-8", "ignore") if runs else text, len(left)) if with_text else [])))
+                made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_bytes + ["kept_text", "kept_chars"] * with_text)
                 made.insert(0, "doc_id", part["doc_id"].array)
                 yield made
 
     whole = _text_with(keyed, found, "left").select("doc_id", "text", "spans")
-    return whole.mapInPandas(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: long, b: long>>" + ", kept binary" * with_bytes)
+    return whole.mapInPandas(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: long, b: long>>" + ", kept binary" * with_bytes + ", kept_text string, kept_chars long" * with_text)
