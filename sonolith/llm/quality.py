@@ -16,22 +16,24 @@ likely than not.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
 TRAIN_ROWS, SIGNIFICANT, BINS, LEAST_DOCS = 20_000, 6.0, 8, 3
-BEGINNINGS, MOST_WORDS, MEMO, BLOCK = (3, 4, 5, 6), 3, 200_000, 1024
+BEGINNINGS, MOST_WORDS, SLICE, BLOCK = (3, 4, 5, 6), 3, 8_000_000, 1024
 TARGETS = ("low", "toxic")
-_WORD = re.compile(r"[^\W\d_]+")
+# What lies between words: all but letters, and numbers that are no decimal digits.
+_BETWEEN = r"[^\pL\p{Nl}\p{No}]+"
+_ODD = 0x9E3779B97F4A7C15
+_known: list[np.ndarray] = []
 # Bytes of each class whose share of the text is a style ratio.
 _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " ", "\n", ".,;:", "!", "?", "|", "*#$%&@^~", "<>{}[]()/\\", "\"'`-_=+")
 _TABLE = np.zeros(256, np.uint8)
@@ -41,58 +43,130 @@ _TABLE[128:] = len(_CLASSES) + 1
 STYLES = len(_CLASSES) + 1 + 6
 
 
-def describe(text: str | None) -> tuple[np.ndarray, set[str]]:
-    """Style ratios, and the set of words in lower case."""
-    text = text if isinstance(text, str) else ""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    shares = np.bincount(_TABLE[raw], minlength=len(_CLASSES) + 2)[1:] / max(1, len(raw))
-    words = _WORD.findall(text.lower())
-    kinds, parts = set(words), text.split()
-    n = max(1, len(words))
-    capital = shares[0] / max(1e-9, shares[0] + shares[1])
-    lines = text.count("\n") + 1
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
-    more = [capital, len(kinds) / n**0.8, again, np.log1p(len(parts)), np.log1p(len(parts) / lines), sum(map(len, parts)) / max(1, len(parts))]
-    return np.concatenate([shares, more]), kinds
-
-
-def stems(word: str) -> list[int]:
-    """Signed 64-bit ids, their lowest two bits clear, of a word and its beginnings."""
-    parts = [(word, 0)] + [(word[:n], n) for n in BEGINNINGS if len(word) >= n]
-    return [(xxhash.xxh3_64_intdigest(p, n) - 2**63) & ~3 for p, n in parts]
-
-
-def marks(found: Iterator[int]) -> list[int]:
-    """Of the stems of distinct words: each with the numbers of words, up to MOST_WORDS, that it reaches."""
-    return [h | k for h, v in Counter(found).items() for k in range(1, min(v, MOST_WORDS) + 1)]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of an odd number and of its inverse, modulo 2**64."""
+    if not _known or len(_known[0]) < n:
+        _known[:] = []
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+            steps = np.full(n, base, np.uint64)
+            steps[:1] = 1
+            _known.append(np.cumprod(steps, dtype=np.uint64))
+    return _known[0], _known[1]
+
+
+def stems(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct words: (word's place, id) for each word and each of its beginnings. Ids are signed 64-bit numbers, their lowest two bits clear."""
+    ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+    raw = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.concatenate([[0], ends[:-1]])
+    up, down = _powers(len(raw) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+    letters = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters begin
+    first = np.searchsorted(letters, begins)
+    sizes = np.diff(np.append(first, len(letters) - 1))
+    places, found = [], []
+    for n in (0, *BEGINNINGS):
+        who = np.flatnonzero(sizes >= max(n, 1))
+        end = letters[first[who] + n] if n else ends[who]
+        x = (sums[end] - sums[begins[who]]) * down[begins[who]]
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x += np.uint64(n * _ODD % 2**64)  # a beginning is no word of its own
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        places.append(who)
+        found.append((x ^ (x >> np.uint64(31))).view(np.int64) & ~np.int64(3))
+    return np.concatenate(places), np.concatenate(found)
+
+
+class Described:
+    """A slice of texts: style ratios of each, the slice's distinct words in lower case, and which of them each text holds."""
+
+    def __init__(self, texts: list[str | None]):
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        spaced = pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.string())), _BETWEEN, " ")
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+        flat = lists.flatten().dictionary_encode()
+        self.words, codes = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+        empty = pc.index(self.words, "").as_py()
+        if empty >= 0:  # a text without a word
+            row, codes = row[codes != empty], codes[codes != empty]
+        pair = np.sort(row * max(1, len(self.words)) + codes)
+        pair = pair[np.diff(pair, prepend=-1) != 0]
+        self.row, self.code = np.divmod(pair, max(1, len(self.words)))
+        n, kinds = np.maximum(1, np.bincount(row, minlength=len(texts))), np.bincount(self.row, minlength=len(texts))
+        again = np.bincount(row[1:][(codes[1:] == codes[:-1]) & (row[1:] == row[:-1])], minlength=len(texts)) / n
+        shares, rest = np.empty((len(texts), len(_CLASSES) + 1)), np.empty((len(texts), 3))
+        for i, t in enumerate(texts):
+            raw, parts = np.frombuffer(t.encode("utf-8"), np.uint8), t.split()
+            shares[i] = np.bincount(_TABLE[raw], minlength=len(_CLASSES) + 2)[1:] / max(1, len(raw))
+            rest[i] = np.log1p(len(parts)), np.log1p(len(parts) / (t.count("\n") + 1)), len("".join(parts)) / max(1, len(parts))
+        capital = shares[:, 0] / np.maximum(1e-9, shares[:, 0] + shares[:, 1])
+        self.style = np.column_stack([shares, capital, kinds / n**0.8, again, rest])
+
+    def stems(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, stem, number of its words that the stem reaches) for the wanted stems (sorted), by their places."""
+        word, stem = stems(self.words)
+        at = np.searchsorted(wanted, stem)
+        held = at < len(wanted)
+        held[held] = wanted[at[held]] == stem[held]
+        word, at = word[held], at[held]
+        order = np.argsort(word, kind="stable")
+        at, many = at[order], np.bincount(word, minlength=len(self.words))
+        size = many[self.code]
+        place = np.repeat((np.cumsum(many) - many)[self.code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        pair = np.sort(np.repeat(self.row, size) * max(1, len(wanted)) + at[place])
+        starts = np.flatnonzero(np.diff(pair, prepend=-1))
+        row, at = np.divmod(pair[starts], max(1, len(wanted)))
+        return row, at, np.diff(np.append(starts, len(pair)))
+
+
+def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of at most SLICE characters, or one longer text."""
+    some, size = [], 0
+    for t in texts:
+        n = len(t) if isinstance(t, str) else 0
+        if some and size + n > SLICE:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += n
+    if some:
+        yield some
 
 
 class Classifier:
     """Two logistic models over bins of style ratios and chosen marks."""
 
     def __init__(self, edges: np.ndarray, chosen: np.ndarray, weights: np.ndarray, prior: np.ndarray):
-        self.edges, self.at, self.weights, self.prior = edges, {m: i for i, m in enumerate(chosen.tolist())}, weights, prior
-        self.stems, self.memo = {m & ~3 for m in self.at}, {}
+        self.edges, self.chosen, self.weights, self.prior = edges, chosen, weights, prior
 
     def bins(self, style: np.ndarray) -> np.ndarray:
-        return np.arange(STYLES) * BINS + (self.edges < style[:, None]).sum(1)
-
-    def columns(self, style: np.ndarray, held: list[int]) -> list[int]:
-        """The columns that are one: bins, marks and the constant."""
-        return self.bins(style).tolist() + [STYLES * BINS + self.at[m] for m in held if m in self.at] + [STYLES * BINS + len(self.at)]
-
-    def _stems(self, word: str) -> tuple[int, ...]:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.memo[word] = tuple(h for h in stems(word) if h in self.stems)
-        return got
-
-    def evidence(self, text: str | None) -> np.ndarray:
-        """log likelihood ratio of each target: the model's log odds without its prior's."""
-        style, kinds = describe(text)
-        return self.weights[self.columns(style, marks(h for w in kinds for h in self._stems(w)))].sum(0) - self.prior
+        return np.arange(STYLES) * BINS + (self.edges < style[..., None]).sum(-1)
+
+    def prepare(self) -> None:
+        """For each stem the weights that one, two or three of its words add up to."""
+        self.names = np.unique(self.chosen & ~np.int64(3))
+        sums = np.zeros((len(self.names), MOST_WORDS + 1, len(TARGETS)))
+        at = np.searchsorted(self.names, self.chosen & ~np.int64(3))
+        sums[at, self.chosen & np.int64(3)] = self.weights[STYLES * BINS : -1]
+        self.sums = np.cumsum(sums, axis=1)
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """log likelihood ratio of each target for each text: the model's log odds without its prior's."""
+        out = [np.zeros((0, len(TARGETS)))]
+        for some in slices(texts):
+            seen = Described(some)
+            got = self.weights[self.bins(seen.style)].sum(1) + self.weights[-1] - self.prior
+            row, stem, n = seen.stems(self.names)
+            more = self.sums[stem, np.minimum(n, MOST_WORDS)]
+            for t in range(len(TARGETS)):
+                got[:, t] += np.bincount(row, weights=more[:, t], minlength=len(some))
+            out.append(got)
+        return np.concatenate(out)
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, size: int, ridge: float = 1.0, steps: int = 300) -> np.ndarray:
@@ -146,8 +220,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [describe(t) for t in b["text"]]
-            yield pd.DataFrame({"low": b["low"].to_numpy(), "toxic": b["toxic"].to_numpy(), "style": [s for s, _ in got], "marks": [marks(h for w in k for h in stems(w)) for _, k in got]})
+            at = 0
+            for some in slices(b["text"].tolist()):
+                seen, here = Described(some), b.iloc[at : at + len(some)]
+                at += len(some)
+                every = np.unique(stems(seen.words)[1])
+                row, at_stem, n = seen.stems(every)
+                times = np.minimum(n, MOST_WORDS)
+                marks = np.repeat(every[at_stem], times) | (np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + 1)
+                cuts = np.searchsorted(np.repeat(row, times), np.arange(1, len(some)))
+                yield pd.DataFrame({"low": here["low"].to_numpy(), "toxic": here["toxic"].to_numpy(), "style": list(seen.style), "marks": np.split(marks, cuts)})
 
     rows = stage(joined.mapInPandas(run, "low int, toxic int, style array<double>, marks array<long>"), "labelled")
     n, *hits = rows.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(t), F.lit(0)) for t in TARGETS]).first()
@@ -193,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
     model.weights = np.stack(weights, axis=1)
     share = (y.sum(0) + 0.5) / (len(y) + 1)
     model.prior = np.log(share / (1 - share))
+    model.prepare()
     return model
 
 
@@ -231,7 +314,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     @F.pandas_udf("low double, toxic double")
     def evidence(text: pd.Series) -> pd.DataFrame:
         m = shared.value
-        got = np.array([m.evidence(t) for t in text]).reshape(-1, 2) if m is not None and len(text) else np.full((len(text), 2), -1.0)
+        got = m.evidence(text.tolist()) if m is not None else np.full((len(text), 2), -1.0)
         return pd.DataFrame(got, columns=list(TARGETS))
 
     priors = model.prior if model is not None else np.zeros(2)
