@@ -15,8 +15,9 @@ hash and a 64-bit digest of the context together; different contexts are told ap
 
 Skew: a gram's repeats are counted by partial aggregation, and joins are sort-merge joins against
 stored tables, whose hot partitions adaptive execution splits. A group of more than ``hot`` classes
-is split by further bytes, as in a radix sort: its windows by where they start, in PARTS ranges, and then by
-all bytes that every window of a range has, so that only contexts that can share a window of the range
+is split by further bytes, as in a radix sort: its windows by where they start, cut where ``hot`` classes or more cease to
+agree with one of them before or after the anchor, and then by all bytes that every window of such a range has, so
+that only contexts that can share a window of the range
 stay together. Within a range contexts that agree in all bytes of its windows are one class again. Parts that are
 still hot are split on, down to single windows; all others are sorted as any group is.
 """
@@ -29,12 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import release, stage, text_of
 
-LENGTH, GRAM, SHALLOW, HOT, PARTS, AT_ONCE = 400, 100, 16, 1_500, 4, 20_000
+LENGTH, GRAM, SHALLOW, HOT, AT_ONCE = 400, 100, 16, 1_500, 20_000
 CHUNK, PLACE_BITS = 1 << 20, 21
 _ODD = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -309,30 +310,47 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     ends = [solved.select("g", F.col("u").alias("c"), "a", "b")]
     if not hot_grams.isEmpty():
 
+        group = ["g", "lo", "hi", "k"]
+        kinds = "g long, lo int, hi int, k long"
+
+        def agreed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[group].assign(l=[_common_end(x[:i], y[:j]) for i, x, j, y in zip(b["lead"], b["context"], b["at"], b["shape"], strict=True)], r=[_common_start(x[i:], y[j:]) for i, x, j, y in zip(b["lead"], b["context"], b["at"], b["shape"], strict=True)])
+
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = []
-                for g, c, times, lead, raw, lo, hi in zip(b["g"], b["c"], b["times"], b["lead"], b["context"], b["lo"], b["hi"], strict=True):
+                for g, c, times, lead, raw, lo, hi, l, r in zip(*[b[x] for x in ("g", "c", "times", "lead", "context", "lo", "hi", "l", "r")], strict=True):
                     right = len(raw) - lead
-                    cuts = sorted({lo + (hi - lo) * i // PARTS for i in range(PARTS + 1)})
+                    cuts = sorted({lo, hi, min(hi, max(lo, length - r)), min(hi, max(lo, l + 1))})
+                    if len(cuts) == 2:
+                        cuts.insert(1, (lo + hi) // 2)
                     for x, y in zip(cuts, cuts[1:], strict=False):
-                        if max(x, length - right) <= min(y - 1, lead):
+                        if x < y and max(x, length - right) <= min(y - 1, lead):
                             before, after = min(y - 1, lead), min(length - x, right)
                             k, u = xxhash.xxh3_64_intdigest(raw[lead - x : lead + length - y + 1]), xxhash.xxh3_64_intdigest(raw[lead - before : lead + after], seed=before)
                             out.append((g, c, times, x, y, k - 2**63, u - 2**63))
                 yield pd.DataFrame(out, columns=["g", "c", "times", "lo", "hi", "k", "u"])
 
-        group = ["g", "lo", "hi", "k"]
-        active = hot_grams.select("g", zero.alias("lo"), F.lit(reach + 1).alias("hi"))
-        todo = classes.join(active, "g").select("g", "c", "lo", "hi")
+        todo = classes.join(hot_grams, "g").select("g", "c", zero.alias("lo"), F.lit(reach + 1).alias("hi"), zero.cast("long").alias("k"))
+        todo = stage(todo, "todo")
         while not todo.isEmpty():
-            tags = stage(shown.join(todo, ["g", "c"]).mapInPandas(split, "g long, c long, times long, lo int, hi int, k long, u long"), "tags")
-            kinds = stage(tags.groupBy(*group, "u").agg(F.sum("times").alias("times"), F.min("c").alias("c")), "kinds")
-            sizes = stage(kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("m"), F.sum("times").alias("all")).where("all > 1").drop("all"), "sizes")
-            small = kinds.join(sizes.where(F.col("m") <= hot).drop("m"), group)
+            heads = todo.groupBy(*group).agg(F.min("c").alias("c"))
+            heads = stage(heads.join(shown, ["g", "c"]).select(*group, F.col("lead").alias("at"), F.col("context").alias("shape")), "heads")
+            members = stage(todo.join(shown, ["g", "c"]), "members")
+            depths = stage(members.join(heads, group).mapInPandas(agreed, f"{kinds}, l int, r int"), "depths")
+            # How deep more than ``hot`` members agree with the group's head, on either side.
+            depth = lambda side: depths.groupBy(*group, side).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy(F.desc(side)))).where(F.col("upto") > hot).groupBy(*group).agg(F.max(side).alias(side))  # noqa: B023, E731
+            cuts = stage(depth("l").join(depth("r"), group), "cuts")
+            tags = stage(members.join(cuts, group).mapInPandas(split, "g long, c long, times long, lo int, hi int, k long, u long"), "tags")
+            alike = stage(tags.groupBy(*group, "u").agg(F.sum("times").alias("times"), F.min("c").alias("c")), "alike")
+            sizes = stage(alike.groupBy(*group).agg(F.count(F.lit(1)).alias("m"), F.sum("times").alias("all")).where("all > 1").drop("all"), "sizes")
+            small = alike.join(sizes.where(F.col("m") <= hot).drop("m"), group)
             found_here = stage(ordered(small.join(shown.select("g", "c", "lead", "context"), ["g", "c"]).select(*group, "u", "times", "lead", "context")), "solved")
-            ends.append(tags.join(found_here, ["g", "lo", "u"]).select("g", "c", "a", "b"))
-            todo = stage(tags.join(sizes.where(F.col("m") > hot).drop("m"), group).select("g", "c", "lo", "hi"), "todo")
+            ends.append(stage(tags.join(found_here, ["g", "lo", "u"]).select("g", "c", "a", "b"), "ends"))
+            left = stage(tags.join(sizes.where(F.col("m") > hot).drop("m"), group).select("g", "c", *group[1:]), "todo")
+            release(todo, heads, members, depths, cuts, tags, alike, sizes, found_here)
+            todo = left
     every = ends[0]
     for more in ends[1:]:
         every = every.unionByName(more)
@@ -345,6 +363,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return spans.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
 
 
+def _common_start(x: bytes, y: bytes) -> int:
+    """How many bytes two strings begin with alike."""
+    n = min(len(x), len(y))
+    return n - -(-(int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")).bit_length() // 8)
+
+
+def _common_end(x: bytes, y: bytes) -> int:
+    return _common_start(x[::-1], y[::-1])
+
+
 def _once(docs: DataFrame) -> DataFrame:
     """One of the rows that are alike in id and text."""
     again = stage(docs.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
