@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,21 @@ def _d(x: float) -> Column:
     return F.lit(float(x))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once. A lambda that names an expression evaluates it for each element; one that names this value reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def bound(f: Callable[..., Column]) -> Callable[..., Column]:
+    """For functions whose lambdas name the array: any array expression is evaluated once."""
+
+    @wraps(f)
+    def g(s: Column, *more, **options) -> Column:
+        return let(s, lambda v: f(v, *more, **options))
+
+    return g
+
+
 def n_frames(s: Column, channels: int) -> Column:
     return F.floor(F.size(s) / channels).cast("int")
 
@@ -30,6 +46,7 @@ def by_frame(s: Column, channels: int, f: Callable[[Column, Column, Column], Col
     return F.transform(s, lambda x, i: f(x, F.floor(i / channels), i % channels))
 
 
+@bound
 def frame_arrays(s: Column, channels: int) -> Column:
     """The frames, each an array of its channels."""
     n = n_frames(s, channels)
@@ -105,6 +122,7 @@ def _curve(x: Column, curve: str) -> Column:
     raise InvalidParameter(f"no such curve: {curve}")
 
 
+@bound
 def fade(s: Column, channels: int, rate: int, seconds: float, mode: str, curve: str = "linear") -> Column:
     if mode not in ("in", "out"):
         raise InvalidParameter(f"no such fade: {mode}")
@@ -190,8 +208,13 @@ def channel_mean(s: Column, channels: int, channel: int) -> Column:
 
 
 def remove_dc(s: Column, channels: int) -> Column:
-    means = F.array(*[channel_mean(s, channels, c) for c in range(channels)])
-    return by_frame(s, channels, lambda x, t, c: x - F.element_at(means, c.cast("int") + 1))
+    return let(s, lambda v: let(F.array(*[channel_mean(v, channels, c) for c in range(channels)]), lambda m: by_frame(v, channels, lambda x, t, c: x - F.element_at(m, c.cast("int") + 1))))
+
+
+@bound
+def normalize(s: Column, target: float, level: Callable[[Column], Column]) -> Column:
+    """Scaled so that a measure (peak, rms) is the target; silence stays as it is."""
+    return let(level(s), lambda now: F.when(now > 0, F.transform(s, lambda x: x * (target / now))).otherwise(s))
 
 
 def soft_limit(s: Column, threshold: float = 0.8, ceiling: float = 1.0, drive: float = 1.0) -> Column:
@@ -214,6 +237,7 @@ def slice_frames(s: Column, channels: int, start: int | Column, count: int | Col
     return F.slice(s, (start * channels + 1).cast("int"), F.greatest(F.lit(0), count * channels).cast("int"))
 
 
+@bound
 def trim(s: Column, channels: int, threshold: float = 0.01) -> Column:
     """Without the frames before the first and after the last that reach the threshold on any channel."""
     loud = F.filter(F.transform(s, lambda x, i: F.when(F.abs(x) >= threshold, F.floor(i / channels))), lambda t: t.isNotNull())
@@ -255,13 +279,17 @@ def add(a: Column, b: Column, offset: int | Column = 0) -> Column:
 
 def crossfade(a: Column, b: Column, channels: int, rate: int, seconds: float) -> Column:
     """The end of a fades out under b, which fades in; the overlap is clipped to full scale."""
-    na, nb = n_frames(a, channels), n_frames(b, channels)
-    k = F.least(F.lit(frames_of(seconds, rate)), na, nb)
-    ratio = lambda t, one: F.when(k == 1, _d(one)).otherwise(t / (k - 1))
-    out = by_frame(slice_frames(a, channels, na - k, k), channels, lambda x, t, c: x * ratio(k - t - 1, 0.0))
-    into = by_frame(slice_frames(b, channels, 0, k), channels, lambda x, t, c: x * ratio(t, 1.0))
-    both = F.zip_with(out, into, lambda p, q: _clamp(p + q, -1, 1))
-    return F.concat(slice_frames(a, channels, 0, na - k), both, slice_frames(b, channels, k, nb - k))
+
+    def faded(a: Column, b: Column) -> Column:
+        na, nb = n_frames(a, channels), n_frames(b, channels)
+        k = F.least(F.lit(frames_of(seconds, rate)), na, nb)
+        ratio = lambda t, one: F.when(k == 1, _d(one)).otherwise(t / (k - 1))
+        out = by_frame(slice_frames(a, channels, na - k, k), channels, lambda x, t, c: x * ratio(k - t - 1, 0.0))
+        into = by_frame(slice_frames(b, channels, 0, k), channels, lambda x, t, c: x * ratio(t, 1.0))
+        both = F.zip_with(out, into, lambda p, q: _clamp(p + q, -1, 1))
+        return F.concat(slice_frames(a, channels, 0, na - k), both, slice_frames(b, channels, k, nb - k))
+
+    return let(a, lambda x: let(b, lambda y: faded(x, y)))
 
 
 # ---- measures
@@ -311,6 +339,7 @@ def resampled_frames(n: Column, source: int, target: int) -> Column:
     return F.round(n * float(target) / source).cast("int")
 
 
+@bound
 def resample_linear(s: Column, channels: int, source: int, target: int) -> Column:
     if source == target:
         return s
@@ -326,11 +355,13 @@ def resample_linear(s: Column, channels: int, source: int, target: int) -> Colum
     return F.when((n > 0) & (count > 0), F.flatten(F.transform(F.sequence(F.lit(0), count - 1), frame))).otherwise(F.array().cast("array<double>"))
 
 
+@bound
 def hold(s: Column, channels: int, factor: int) -> Column:
     """Each frame takes the samples of the last frame whose number the factor divides."""
     return by_frame(s, channels, lambda x, t, c: at(s, F.floor(t / factor) * factor * channels + c))
 
 
+@bound
 def bitcrush(s: Column, channels: int, bits: int = 8, downsample: int = 1, mix: float = 1.0) -> Column:
     steps = float(2**bits - 1)
     crushed = F.transform(s, lambda x: F.round((_clamp(x, -1, 1) + 1.0) / 2.0 * steps) / steps * 2.0 - 1.0)
@@ -356,6 +387,7 @@ def auto_pan(s: Column, rate: int, hz: float = 0.5, depth: float = 1.0) -> Colum
     return by_frame(s, 2, f)
 
 
+@bound
 def swept_delay(s: Column, channels: int, base: int, depth: float, turns: float, mix: float) -> Column:
     """Each channel delayed by base + depth x (sine + 1) / 2 samples; ``turns`` of the sine a frame."""
 

@@ -160,12 +160,10 @@ class Clips:
             raise InvalidParameter(f"no such mode: {mode}")
 
         def f(s: Column) -> Column:
-            if mode == "lufs":
-                now = T.lufs(s, self.format)
-                factor = F.when(now > float("-inf"), F.pow(F.lit(10.0), (target_db - now) / 20.0)).otherwise(1.0)
-            else:
-                now = A.peak(s) if mode == "peak" else A.rms(s)
-                factor = F.when(now > 0, A.amplitude(target_db) / now).otherwise(1.0)
+            if mode != "lufs":
+                return A.normalize(s, A.amplitude(target_db), A.peak if mode == "peak" else A.rms)
+            now = T.lufs(s, self.format)
+            factor = F.when(now > float("-inf"), F.pow(F.lit(10.0), (target_db - now) / 20.0)).otherwise(1.0)
             return F.zip_with(s, F.array_repeat(factor, F.size(s)), lambda x, k: x * k)
 
         return self._to(f)

@@ -240,8 +240,8 @@ _put(
 
 # ---- normalizing, rates
 
-mapped("normalize_peak", lambda s: F.when(A.peak(s) > 0, F.transform(s, lambda x: x * (A.amplitude(-1.0) / A.peak(s)))).otherwise(s), one(f"x * {A.amplitude(-1.0)!r} / max(abs(x)) OVER (PARTITION BY clip_id)"))
-mapped("normalize_rms", lambda s: F.transform(s, lambda x: x * (A.amplitude(-18.0) / A.rms(s))), one(f"x * {A.amplitude(-18.0)!r} / sqrt(avg(x * x) OVER (PARTITION BY clip_id))"))
+mapped("normalize_peak", lambda s: A.normalize(s, A.amplitude(-1.0), A.peak), one(f"x * {A.amplitude(-1.0)!r} / max(abs(x)) OVER (PARTITION BY clip_id)"))
+mapped("normalize_rms", lambda s: A.normalize(s, A.amplitude(-18.0), A.rms), one(f"x * {A.amplitude(-18.0)!r} / sqrt(avg(x * x) OVER (PARTITION BY clip_id))"))
 
 
 def _resampled(target: int) -> str:
