@@ -1,12 +1,15 @@
 """One very long signal through a linear filter, in parallel.
 
 A second-order section is linear, so a block's output is what it gives from rest plus what the
-state before it still rings. Each block is filtered from rest in its own task and reports the state
-it ends in; those few numbers a block are carried forward in order; then every block adds its share.
+state before it still rings. Blocks are filtered from rest, many side by side, and report the state
+they end in; those few numbers a block are carried forward; then every block adds its share. States are
+carried on two levels: SPAN blocks are summed up as one affine map in a task of their own, only these maps
+are gone through in order, and then each span carries its own blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,18 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import Format, frames_of
 from . import kernels as K
+from . import stateful as T
 
-
-def _from_rest(c: tuple[float, ...], x: np.ndarray) -> np.ndarray:
-    """Filtering one block; blocks are short, so the loop is too."""
-    b0, b1, b2, a1, a2 = c
-    y, (x1, x2, y1, y2) = np.empty(len(x)), (0.0, 0.0, 0.0, 0.0)
-    for i, v in enumerate(x.tolist()):
-        w = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
-        x2, x1, y2, y1 = x1, v, y1, w
-        y[i] = w
-    return y
+SPAN = 1024
 
 
 def ringing(c: tuple[float, ...], n: int) -> np.ndarray:
@@ -47,28 +43,53 @@ def filter_rows(signal: DataFrame, coefficients: tuple[float, ...], block: int =
 
     @F.pandas_udf("array<double>")
     def rest(x: pd.Series) -> pd.Series:
-        return pd.Series([_from_rest(coefficients, np.asarray(v)) for v in x], dtype=object)
+        return pd.Series([y.ravel() for y in T.through([K.Biquad(coefficients)], [np.asarray(v, np.float64).reshape(-1, 1) for v in x], Format(1, 8_000), False)], dtype=object)
 
     first = rows.withColumn("y", rest("x"))
     last = lambda c, k: F.when(F.size(c) >= k, F.element_at(c, F.greatest(F.size(c) - (k - 1), F.lit(1)))).otherwise(0.0)
     ends = first.select("b", F.size("x").alias("n"), *[last(F.col(c), k).alias(f"{c}{k}") for c in "xy" for k in (1, 2)])
 
-    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """In the order of blocks, five numbers each: the state that each block begins with."""
-        state, tables = np.zeros(4), {}
-        for e in batches:
+    def steps(e: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """In the order of blocks: the block, and the map from the state before it to the state after, as a matrix and a shift."""
+        tables: dict[int, np.ndarray] = {}
+        for r in e.sort_values("b").itertuples():
+            if r.n not in tables:
+                m, ring = np.zeros((4, 4)), ringing(coefficients, r.n)[-2:]
+                m[2] = ring[-1]
+                if r.n > 1:
+                    m[3] = ring[-2]
+                else:
+                    m[1, 0] = m[3, 2] = 1.0
+                tables[r.n] = m
+            yield r.b, tables[r.n], np.array([r.x1, r.x2 if r.n > 1 else 0.0, r.y1, r.y2 if r.n > 1 else 0.0])
+
+    def total(e: pd.DataFrame) -> pd.DataFrame:
+        m, v = np.eye(4), np.zeros(4)
+        for _, a, shift in steps(e):
+            m, v = a @ m, a @ v + shift
+        return pd.DataFrame({"span": [e["span"].iloc[0]], "m": [m.ravel()], "v": [v]})
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = np.zeros(4)
+        for b in batches:
             out = []
-            for r in e.itertuples():
-                out.append((r.b, *state.tolist()))
-                if r.n not in tables:
-                    tables[r.n] = ringing(coefficients, r.n)[-2:]
-                ring = tables[r.n] @ state
-                y1 = r.y1 + ring[-1]
-                y2 = r.y2 + ring[-2] if r.n > 1 else state[2]
-                state = np.array([r.x1, r.x2 if r.n > 1 else state[0], y1, y2])
-            yield pd.DataFrame(out, columns=["b", "s0", "s1", "s2", "s3"])
-
-    states = ends.repartition(1).sortWithinPartitions("b").mapInPandas(carry, "b long, s0 double, s1 double, s2 double, s3 double")
+            for span, m, v in zip(b["span"], b["m"], b["v"], strict=True):
+                out.append((span, state))
+                state = np.reshape(m, (4, 4)) @ state + v
+            yield pd.DataFrame(out, columns=["span", "state"])
+
+    def within(e: pd.DataFrame) -> pd.DataFrame:
+        state, out = np.asarray(e["state"].iloc[0]), []
+        for b, a, shift in steps(e):
+            out.append((b, *state.tolist()))
+            state = a @ state + shift
+        return pd.DataFrame(out, columns=["b", "s0", "s1", "s2", "s3"])
+
+    ends = ends.withColumn("span", F.floor(F.col("b") / SPAN))
+    totals = ends.groupBy("span").applyInPandas(total, "span long, m array<double>, v array<double>")
+    # A row for SPAN blocks goes through one task.
+    begun = totals.repartition(1).sortWithinPartitions("span").mapInPandas(starts, "span long, state array<double>")
+    states = ends.join(begun, "span").groupBy("span").applyInPandas(within, "b long, s0 double, s1 double, s2 double, s3 double")
 
     @F.pandas_udf("array<double>")
     def settle(y: pd.Series, s0: pd.Series, s1: pd.Series, s2: pd.Series, s3: pd.Series) -> pd.Series:
@@ -79,3 +100,33 @@ def filter_rows(signal: DataFrame, coefficients: tuple[float, ...], block: int =
 
     whole = first.join(states, "b").select("b", settle("y", "s0", "s1", "s2", "s3").alias("y"))
     return whole.select("b", F.posexplode("y").alias("i", "y")).select((F.col("b") * block + F.col("i")).alias("frame"), "y")
+
+
+def cascade(signal: DataFrame, sections: tuple[tuple[float, ...], ...], block: int = 65_536) -> DataFrame:
+    """(frame, x) through sections one after another: (frame, y)."""
+    for c in sections:
+        signal = filter_rows(signal, c, block).withColumnRenamed("y", "x")
+    return signal.withColumnRenamed("x", "y")
+
+
+def block_energies(signal: DataFrame, rate: int, block: int = 65_536) -> DataFrame:
+    """Of a mono signal (frame, x): (block, energy), the mean squares of its K-weighted blocks of 0.4 s, one each 0.1 s. A shorter signal is one block."""
+    size, step = frames_of(K.BLOCK, rate), max(frames_of(K.STEP, rate), 1)
+    unit = math.gcd(size, step)
+    n = signal.agg((F.max("frame") + 1).alias("n"))
+    weighted = cascade(signal, K.k_weighting(rate), block)
+    sums = weighted.groupBy(F.floor(F.col("frame") / unit).alias("u")).agg(F.sum(F.col("y") * F.col("y")).alias("e"))
+    # A unit lies in the blocks that begin at most so many units before it.
+    low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("u") - size // unit + 1) / (step // unit)))
+    parts = sums.select("e", F.explode(F.sequence(low, F.floor(F.col("u") / (step // unit)))).alias("block"))
+    energy = parts.groupBy("block").agg(F.sum("e").alias("e"))
+    there = (F.col("block") == 0) | (F.col("block") * step + size <= n.scalar())
+    return energy.where(there).select("block", (F.col("e") / F.least(F.lit(size), n.scalar())).alias("energy"))
+
+
+def integrated(signal: DataFrame, rate: int, block: int = 65_536) -> DataFrame:
+    """One row, lufs: the gated loudness of a mono signal (frame, x) of any length; minus infinity for silence."""
+    loud = lambda e: K.OFFSET + 10 * F.log10(e)
+    held = block_energies(signal, rate, block).where((F.col("energy") > 0) & (loud(F.col("energy")) >= K.ABSOLUTE))
+    gate = held.agg((loud(F.avg("energy")) + K.RELATIVE).alias("gate"))
+    return held.where(loud(F.col("energy")) >= gate.scalar()).agg(F.coalesce(loud(F.avg("energy")), F.lit(float("-inf"))).alias("lufs"))

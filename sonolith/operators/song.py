@@ -48,14 +48,14 @@ def chance(events_: DataFrame, seed: int) -> DataFrame:
     return events_.where((F.col("kind") == "trigger") & (draw < F.col("probability")))
 
 
-def play_samples(triggers: DataFrame, sample: DataFrame, stereo: bool = False) -> DataFrame:
-    """Of triggers and one clip (samples): (frame, l, r), the clip at each trigger, scaled by its velocity.
+def play_samples(triggers: DataFrame, samples: DataFrame, stereo: bool = False) -> DataFrame:
+    """Of triggers and clips (track, samples): (frame, l, r), a track's clip at each of its triggers, scaled by its velocity.
 
-    The clip's frames are exploded once and cross with the triggers, a small table on the clip's side: one clip of bounded length.
+    Triggers join their track's clip, one row a track; of several clips of a track all sound. A track without a clip is silent.
     """
     s = F.col("samples")
     frames = A.frame_arrays(s, 2) if stereo else F.transform(s, lambda x: F.array(x, x))
-    sound = triggers.crossJoin(F.broadcast(sample.limit(1).select("samples"))).select("start_frame", "velocity", F.posexplode(frames).alias("t", "x"))
+    sound = triggers.join(samples.select(F.col("track").alias("of"), "samples"), F.col("track") == F.col("of")).select("start_frame", "velocity", F.posexplode(frames).alias("t", "x"))
     return sound.groupBy((F.col("start_frame") + F.col("t")).alias("frame")).agg(F.sum(F.col("x")[0] * F.col("velocity")).alias("l"), F.sum(F.col("x")[1] * F.col("velocity")).alias("r"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..model import Format
 from ..operators import kernels as K
 from ..operators import stateful as T
-from ..sources.tables import MONO, RATE, STEREO, clips, groups, long_clip, long_signal, pairs
+from ..sources.tables import MONO, RATE, STEREO, clips, groups, last_clip, long_signal, loud_signal, pairs
 from .registry import P, S, query, recursion, rows, tidy
 
 
@@ -195,30 +195,35 @@ def _weigh(where: str = "") -> str:
 
 @query(
     _weigh()
-    + """, B AS (SELECT s, avg(y * y) AS e FROM (SELECT CAST(k * 800 AS BIGINT) AS s FROM range(1000) r(k) WHERE k * 800 <= greatest(0, (SELECT max(i) + 1 FROM Y) - 3200)) b JOIN Y ON Y.i >= s AND Y.i < s + 3200 GROUP BY s),
+    + """, B AS (SELECT s, avg(y * y) AS e FROM (SELECT CAST(k * 800 AS BIGINT) AS s FROM (SELECT unnest(range((SELECT max(i) // 800 + 1 FROM O))) AS k) r WHERE k * 800 <= greatest(0, (SELECT max(i) + 1 FROM Y) - 3200)) b JOIN Y ON Y.i >= s AND Y.i < s + 3200 GROUP BY s),
 A AS (SELECT e FROM B WHERE -0.691 + 10 * log10(e) >= -70), G AS (SELECT -0.691 + 10 * log10(avg(e)) - 10 AS g FROM A)
 SELECT round(-0.691 + 10 * log10(avg(e)), 6) AS lufs FROM A, G WHERE -0.691 + 10 * log10(e) >= g"""
 )
 def lufs_integrated(spark, d) -> DataFrame:
-    return long_clip(spark, d).select(tidy(T.lufs(X(), MONO)).alias("lufs"))
+    from ..operators.blocked import integrated
+
+    return integrated(loud_signal(spark, d), RATE, 16_384).select(tidy(F.col("lufs")).alias("lufs"))
 
 
 for _name, _f, _n in (("lufs_momentary", T.momentary, 3200), ("lufs_short_term", T.short_term, 24000)):
     # A clip shorter than the window is measured whole.
-    query(_weigh(f"least({_n}, (SELECT count(*) FROM O))") + " SELECT round(-0.691 + 10 * log10(avg(y * y)), 6) AS lufs FROM Y", _name)(lambda spark, d, f=_f: long_clip(spark, d).select(tidy(f(X(), MONO)).alias("lufs")))
+    query(_weigh(f"least({_n}, (SELECT count(*) FROM O))") + " SELECT round(-0.691 + 10 * log10(avg(y * y)), 6) AS lufs FROM Y", _name)(lambda spark, d, f=_f, n=_n: last_clip(loud_signal(spark, d), n).select(tidy(f(X(), MONO)).alias("lufs")))
 
 
 @query(
     _weigh()
-    + """, B AS (SELECT s, avg(y * y) AS e FROM (SELECT CAST(k * 800 AS BIGINT) AS s FROM range(1000) r(k) WHERE k * 800 <= greatest(0, (SELECT max(i) + 1 FROM Y) - 3200)) b JOIN Y ON Y.i >= s AND Y.i < s + 3200 GROUP BY s),
+    + """, B AS (SELECT s, avg(y * y) AS e FROM (SELECT CAST(k * 800 AS BIGINT) AS s FROM (SELECT unnest(range((SELECT max(i) // 800 + 1 FROM O))) AS k) r WHERE k * 800 <= greatest(0, (SELECT max(i) + 1 FROM Y) - 3200)) b JOIN Y ON Y.i >= s AND Y.i < s + 3200 GROUP BY s),
 A AS (SELECT e FROM B WHERE -0.691 + 10 * log10(e) >= -70), G AS (SELECT -0.691 + 10 * log10(avg(e)) - 10 AS g FROM A),
 L AS (SELECT -0.691 + 10 * log10(avg(e)) AS lufs FROM A, G WHERE -0.691 + 10 * log10(e) >= g)
 SELECT i, round(x * power(10, (-14 - lufs) / 20), 6) + 0.0 AS y FROM O, L"""
 )
 def normalize_lufs(spark, d) -> DataFrame:
-    from .planner import Clips
+    """A signal of any length: its loudness is one number, which scales each frame."""
+    from ..operators.blocked import integrated
 
-    return rows(Clips(long_clip(spark, d), MONO).normalize(-14.0, "lufs").df(), X()).select("i", "y")
+    signal = loud_signal(spark, d)
+    factor = integrated(signal, RATE, 16_384).select(F.pow(F.lit(10.0), (-14.0 - F.col("lufs")) / 20.0).alias("k"))
+    return signal.select(F.col("frame").cast("int").alias("i"), tidy(F.col("x") * factor.scalar()).alias("y"))
 
 
 # ---- streams in blocks

@@ -68,16 +68,18 @@ SELECT CAST(min(frame) AS BIGINT) AS first_frame, CAST(count(*) AS BIGINT) AS fr
 """
 )
 def clipped_runs(spark, d) -> DataFrame:
-    """Runs of two or more frames at full scale after amplification; a frame follows its neighbour in a hash of its own block, so blocks meet at their ends only."""
-    s = long_signal(spark, d).select("frame", (F.col("x") * 1.25 >= 1).alias("full"))
-    block = 4096
-    w = Window.partitionBy(F.floor(F.col("frame") / block)).orderBy("frame")
-    runs = s.where("full").withColumn("run", F.col("frame") - F.row_number().over(w)).groupBy(F.floor(F.col("frame") / block).alias("b"), "run").agg(F.min("frame").alias("a"), F.max("frame").alias("z"))
-    # A run that reaches its block's end joins the one that begins the next block: a few rows a block.
-    order = Window.orderBy("a")
-    joined = runs.withColumn("new", F.when(F.lag("z").over(order) + 1 == F.col("a"), 0).otherwise(1)).withColumn("id", F.sum("new").over(order))
-    out = joined.groupBy("id").agg(F.min("a").alias("first_frame"), F.sum(F.col("z") - F.col("a") + 1).alias("frames"))
-    return out.where("frames >= 2").select("first_frame", "frames")
+    """Runs of two or more frames at full scale after amplification. Blocks meet at their ends only, on two levels before one task sees what is left: two rows a block of 16 million frames at most."""
+    s = long_signal(spark, d).where(F.col("x") * 1.25 >= 1).select(F.col("frame").alias("a"), F.col("frame").alias("z"))
+    done = None
+    for size in (4096, 4096 * 4096, None):
+        # Runs meet within a block; only those that reach its ends go on to the next, larger one.
+        w = Window.partitionBy(F.floor(F.col("a") / size) if size else F.lit(0)).orderBy("a")
+        new = s.withColumn("new", F.when(F.lag("z").over(w) + 1 == F.col("a"), 0).otherwise(1)).withColumn("part", F.floor(F.col("a") / size) if size else F.lit(0).cast("long"))
+        runs = new.withColumn("id", F.sum("new").over(w)).groupBy("part", "id").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+        edge = (F.col("a") % size == 0) | ((F.col("z") + 1) % size == 0) if size else F.lit(False)
+        ended = runs.where(~edge).select("a", "z")
+        done, s = ended if done is None else done.unionByName(ended), runs.where(edge).select("a", "z")
+    return done.where("z > a").select(F.col("a").alias("first_frame"), (F.col("z") - F.col("a") + 1).alias("frames"))
 
 
 @query(

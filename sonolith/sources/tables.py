@@ -39,10 +39,15 @@ def long_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"), (F.col("o_totalprice") / 500000.0).alias("x"))
 
 
-def long_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders as one clip of one row, centred and loud."""
-    rows = long_signal(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("r"))
-    return rows.select(F.lit(0).cast("long").alias("clip_id"), F.transform("r", lambda p: p["x"] * 2 - 1).alias("samples"))
+def loud_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as one signal, centred and loud: (frame, x)."""
+    return long_signal(spark, sf_dir).select("frame", (F.col("x") * 2 - 1).alias("x"))
+
+
+def last_clip(signal: DataFrame, frames: int) -> DataFrame:
+    """The last frames of a signal (frame, x), a bounded number, as one clip."""
+    rows = signal.where(F.col("frame") > signal.agg(F.max("frame").alias("n")).scalar() - frames).agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("r"))
+    return rows.select(F.lit(0).cast("long").alias("clip_id"), F.transform("r", lambda p: p["x"]).alias("samples"))
 
 
 def tone(spark: SparkSession, fmt: Format, seconds: float, waveform: str = "sine", hz: float = 440.0, level: float = 1.0, clip_id: int = 0, **options) -> DataFrame:
