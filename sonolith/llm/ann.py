@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-DIMS, STOP, SAMPLE, BLOCK_ROWS, LEAF, VERIFY, MAX_CELLS, SEED = 8, 0.95, 20_000, 5_000, 128, 64, 4096, 7
+DIMS, STOP, SAMPLE, BLOCK_ROWS, LEAF, VERIFY, MAX_CELLS, SEED = 8, 0.95, 20_000, 5_000, 256, 256, 4096, 7
 
 
 def chi_square(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
