@@ -163,20 +163,3 @@ def test_quality_on_held_out_documents(spark):
     carried = quality.classify(df, labels, F.col("source"), F.col("lang"), carry=True)
     assert carried.select("row.*").columns == df.columns
     assert quality.classify(df.where("false"), labels, F.col("source"), F.col("lang")).count() == 0
-
-
-def test_pipeline_runs_whole(spark, tmp_path):
-    import corpus_pipeline as cp
-
-    rnd = random.Random(6)
-    words = [f"word{i}" for i in range(400)]
-    rows = [(i, "\n".join(" ".join(rnd.choice(words) for _ in range(9)) for _ in range(rnd.randint(1, 12))), "en", rnd.choice(["s1", "s2", None])) for i in range(120)]
-    rows += [(200, rows[0][1] + " tail", "en", "s1"), (201, None, None, None), (202, "", "en", "s2"), (203, rows[1][1], "en", "s1")]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.char_length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for name, step in cp.STAGES[:-1]:
-        out = step(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns, name
-    got = cp.run(spark, str(tmp_path)).collect()
-    assert got and all(r.length <= 4096 for r in got)
