@@ -57,6 +57,10 @@ class Pipe:
 
     def _through(self, x: np.ndarray, first: int = 0) -> np.ndarray:
         for i in range(first, len(self.chain)):
+            if isinstance(self.chain[i], K.Biquad):
+                x = self.chain[i].sweep(x)
+                self.times[i] += len(x)
+                continue
             out = np.empty_like(x)
             for j in range(len(x)):
                 out[j] = self.chain[i].step(self.times[i], x[j : j + 1])[0]
@@ -98,8 +102,11 @@ def _rows(pipe: Pipe, key: int, b: pd.DataFrame, fmt: Format, tail: bool) -> lis
     return out
 
 
-def process(chunks: DataFrame, make: Callable[[], Sequence[K.Kernel]], fmt: Format, tail: bool = True) -> DataFrame:
-    """CHUNKS through a chain, batch or stream. In a batch, clips are grouped and need no kept state."""
+def process(chunks: DataFrame, make: Callable[[], Sequence[K.Kernel]], fmt: Format, tail: bool = True, idle_seconds: float | None = None) -> DataFrame:
+    """CHUNKS through a chain, batch or stream. In a batch, clips are grouped and need no kept state.
+
+    In a stream the state of a clip whose last chunk doesn't come stays, or goes after ``idle_seconds`` without a chunk.
+    """
     if not chunks.isStreaming:
 
         def whole(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -112,15 +119,20 @@ def process(chunks: DataFrame, make: Callable[[], Sequence[K.Kernel]], fmt: Form
         return chunks.groupBy("clip_id").applyInPandas(whole, CHUNKS)
 
     def some(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pipe = Pipe(make, fmt, state.get[0] if state.exists else None)
         rows = [x for b in batches for x in _rows(pipe, key[0], b, fmt, tail)]
         if any(r[4] for r in rows):
             state.remove()
         else:
             state.update((pipe.keep(),))
+            if idle_seconds is not None:
+                state.setTimeoutDuration(int(idle_seconds * 1000))
         yield pd.DataFrame(rows, columns=COLUMNS)
 
-    return chunks.groupBy("clip_id").applyInPandasWithState(some, CHUNKS, "kept binary", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("clip_id").applyInPandasWithState(some, CHUNKS, "kept binary", "append", GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def map_chunks(chunks: DataFrame, f: Callable[[F.Column], F.Column] | Callable) -> DataFrame:
