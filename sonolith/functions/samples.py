@@ -435,6 +435,33 @@ def envelope(time: Column, note_on: Column | float, attack: float, decay: float,
     return F.when(time < note_on, held(time)).otherwise(after)
 
 
+def render_with_tail(s: Column, channels: int, rate: int, note_on: float, **shape) -> Column:
+    """The clip under an envelope, its last frame repeated until the release has ended; an empty clip stays empty."""
+    end = math.ceil(round((note_on + shape.get("release", 0.0)) * rate, 9))
+
+    def f(v: Column) -> Column:
+        n = n_frames(v, channels)
+        last = F.slice(v, F.greatest(F.lit(1), (n - 1) * channels + 1), F.lit(channels))
+        whole = F.when(n > 0, F.concat(v, F.flatten(F.array_repeat(last, F.greatest(F.lit(0), F.lit(end) - n))))).otherwise(v)
+        return by_frame(whole, channels, lambda x, t, c: x * envelope(t / float(rate), note_on, **shape))
+
+    return let(s, f)
+
+
+def map_samples(s: Column, f: Callable[[Column], Column]) -> Column:
+    """f of each sample; a result that is null or isn't finite is an error that names the sample."""
+    made = F.transform(s, f)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.transform(made, lambda x, i: F.when(finite(x), x).otherwise(F.raise_error(F.concat(F.lit("map_samples: not finite at sample "), i.cast("string"))).cast("double")))
+
+
+def map_frames(s: Column, channels: int, f: Callable[[Column], Column]) -> Column:
+    """f of each frame, an array of its channels, which must give as many finite values."""
+    made = F.transform(frame_arrays(s, channels), f)
+    good = lambda p: (F.size(p) == channels) & F.forall(p, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return F.flatten(F.transform(made, lambda p, t: F.when(good(p), p).otherwise(F.raise_error(F.concat(F.lit("map_frames: wrong values at frame "), t.cast("string"))).cast("array<double>"))))
+
+
 def automation(time: Column, points: Sequence[tuple[float, float]]) -> Column:
     """Straight lines between points; constant outside; at a repeated time the right value begins."""
     if not points:

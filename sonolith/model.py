@@ -7,6 +7,7 @@ rates and channels are literals in every plan.
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
@@ -127,6 +128,25 @@ def frames_of(seconds: float, rate: int) -> int:
     return half_away(seconds * rate)
 
 
+def seconds(x: float) -> float:
+    """A time in seconds, checked."""
+    frames_of(x, 1)
+    return float(x)
+
+
+def milliseconds(x: float) -> float:
+    return seconds(x / 1000.0)
+
+
+def inside(folder: str, path: str) -> str:
+    """The path within a folder; one that leads out of it is an error, links included."""
+    root = os.path.realpath(folder)
+    full = os.path.realpath(os.path.join(root, path))
+    if os.path.commonpath([root, full]) != root:
+        raise InvalidParameter(f"{path} leads out of {folder}")
+    return full
+
+
 def parse_duration(text: str | float) -> float:
     """Seconds of ``SS(.s)``, ``MM:SS`` or ``HH:MM:SS``; below a higher part, minutes and seconds stay under 60."""
     if isinstance(text, (int, float)):

@@ -71,7 +71,10 @@ class Clips:
         return self._to(lambda s: A.gain(s, db))
 
     def map_samples(self, f: Callable[[Column], Column]) -> Clips:
-        return self._to(lambda s: F.transform(s, f))
+        return self._to(lambda s: A.map_samples(s, f))
+
+    def map_frames(self, f: Callable[[Column], Column]) -> Clips:
+        return self._to(lambda s: A.map_frames(s, self.format.channels, f))
 
     def fade_in(self, seconds: float, curve: str = "linear") -> Clips:
         return self._to(lambda s: A.fade(s, self.format.channels, self.format.sample_rate, seconds, "in", curve))
@@ -172,6 +175,10 @@ class Clips:
         rate, ch = float(self.format.sample_rate), self.format.channels
         return self._to(lambda s: A.by_frame(s, ch, lambda x, t, c: x * A.envelope(t / rate, note_on, **shape)))
 
+    def envelope_with_tail(self, note_on: float, **shape) -> Clips:
+        """Under an envelope, drawn out until its release has ended."""
+        return self._to(lambda s: A.render_with_tail(s, self.format.channels, self.format.sample_rate, note_on, **shape))
+
     def automate_gain(self, points, unit: str = "db") -> Clips:
         rate, ch = float(self.format.sample_rate), self.format.channels
         level = (lambda v: F.pow(F.lit(10.0), v / 20.0)) if unit == "db" else (lambda v: v)

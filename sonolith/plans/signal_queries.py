@@ -240,6 +240,16 @@ _put(
     f"WITH {_PAIR} SELECT A.clip_id, A.i, round(A.x * {A.amplitude(-3.0)!r} + B.x * {A.amplitude(-9.0)!r}, 6) + 0.0 AS y FROM A JOIN B USING (clip_id, i)",
 )
 
+# ---- frames, envelopes with their tails
+
+stereo("map_frames", lambda s: A.map_frames(s, 2, lambda p: F.array(p[1] * 0.5, p[0] - p[1])), "r * 0.5", "l - r")
+# 64 frames are 8 ms; note off at 6 ms, and 5 ms of release after it: 88 frames, the last sample held on.
+_tailed = f"WITH {S}, E AS (SELECT S.clip_id, t AS i, S.x, t / {RATE}.0 AS s FROM range(88) r(t) JOIN S ON S.i = least(t, 63))"
+mapped(
+    "envelope_tail", lambda s: A.render_with_tail(s, 1, RATE, 0.006, attack=0.001, decay=0.002, sustain=0.5, release=0.005),
+    f"{_tailed} SELECT clip_id, CAST(i AS INTEGER) AS i, round(x * CASE WHEN s < 0.001 THEN s / 0.001 WHEN s < 0.003 THEN 1 - 0.5 * (s - 0.001) / 0.002 WHEN s < 0.006 THEN 0.5 ELSE 0.5 * (1 - least(1.0, (s - 0.006) / 0.005)) END, 6) + 0.0 AS y FROM E",
+)
+
 # ---- normalizing, rates
 
 mapped("normalize_peak", lambda s: A.normalize(s, A.amplitude(-1.0), A.peak), one(f"x * {A.amplitude(-1.0)!r} / max(abs(x)) OVER (PARTITION BY clip_id)"))

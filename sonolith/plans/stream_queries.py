@@ -28,6 +28,25 @@ for _codec, _name in (("wav", "a.wav"), ("aiff", "a.aiff"), ("flac", "a.flac"),
 
     query(f"WITH {S} " + sql_rows(_TO16.format("x")), f"codec_{_codec}")(_trip)
 
+
+
+def _big_endian(spark, d):
+    """Raw samples with their options, out and in."""
+    made = clips(spark, d).select("clip_id", audio.encode(A.to_pcm(F.col("samples"), PCM16), PCM16, "raw", endianness="big", signed=False).alias("content"))
+    return rows(made, audio.decode_samples(F.col("content"), "a.raw", PCM16, endianness="big", signed=False))
+
+
+query(f"WITH {S} " + sql_rows(_TO16.format("x")), "codec_raw_options")(_big_endian)
+
+
+@query(f"WITH {S} SELECT clip_id, CAST(i // 24 AS BIGINT) AS seq, CAST(i // 24 * 24 AS BIGINT) AS start_frame, CAST(count(*) AS INTEGER) AS n_frames, i // 24 = 2 AS is_last, round(sum({_TO16.format('x')} / 32768), 6) + 0.0 AS total FROM S GROUP BY clip_id, i // 24")
+def file_chunks(spark, d) -> DataFrame:
+    """WAV files read as chunks of 24 frames."""
+    files = clips(spark, d).select("clip_id", F.lit("a.wav").alias("path"), audio.encode(A.to_pcm(F.col("samples"), PCM16), PCM16, "wav").alias("content"))
+    got = audio.decode_chunks(files, 24)
+    return got.select("clip_id", "seq", "start_frame", "n_frames", "is_last", (F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"))
+
+
 _STEREO16 = Format(2, RATE, 16, "pcm")
 
 

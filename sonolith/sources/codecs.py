@@ -651,13 +651,22 @@ def detect(path: str, head: bytes = b"", strict: bool = False) -> Codec:
     raise UnsupportedFormat(f"no codec for {path}")
 
 
-def decode(path: str, data: bytes, fmt: Format | None = None, header_only: bool = False) -> tuple[Codec, Sound]:
+def for_writing(path: str) -> Codec:
+    """The codec that a file's extension names, if it can write."""
+    codec = detect(path)
+    if codec.encode is None or codec.name == "ogg":
+        raise UnsupportedFormat(f"no codec writes {path}")
+    return codec
+
+
+def decode(path: str, data: bytes, fmt: Format | None = None, header_only: bool = False, raw: dict | None = None) -> tuple[Codec, Sound]:
+    """``raw``: endianness and signed, for raw samples."""
     codec = detect(path, data[:65_536])
     try:
         if codec.name == "raw":
             if fmt is None:
                 raise InvalidFormat("raw samples need a format")
-            return codec, raw_decode(data, fmt)
+            return codec, raw_decode(data, fmt, **(raw or {}))
         return codec, codec.decode(data, header_only) if header_only else codec.decode(data)
     except SonolithError:
         raise
