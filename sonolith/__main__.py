@@ -1,4 +1,4 @@
-"""``python -m sonolith``: info, convert, normalize, trim, tone, timeline, formats. Files are named one or by a pattern; the work is Spark's."""
+"""``python -m sonolith``: info, convert, normalize, trim, chain, tone, render, timeline, formats, doctor. Files are named one or by a pattern; the work is Spark's."""
 
 from __future__ import annotations
 
@@ -23,11 +23,31 @@ def _clips(spark: SparkSession, path: str):
     return Clips(rows.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]+)?$", 1).alias("clip_id"), "samples"), Format(*first))
 
 
+def _doctor(spark: SparkSession) -> int:
+    """What this place can do; 0 if all that is needed is there."""
+    import importlib.util
+
+    missing = [x for x in ("numpy", "pandas", "pyarrow") if importlib.util.find_spec(x) is None]
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    print(f"spark {spark.version}, master {spark.sparkContext.master}")
+    print(f"missing: {', '.join(missing) or 'nothing'}")
+    print(f"shared folder: {shared or 'none (set spark.checkpoint.dir on a cluster)'}")
+    return int(bool(missing))
+
+
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="sonolith")
     sub = p.add_subparsers(dest="what", required=True)
     sub.add_parser("formats")
+    sub.add_parser("doctor")
     sub.add_parser("info").add_argument("path")
+    for name in ("chain", "render"):
+        q = sub.add_parser(name)
+        q.add_argument("path")
+        q.add_argument("folder")
+        q.add_argument("--codec", default="wav")
+        if name == "chain":
+            q.add_argument("--effect", action="append", required=True, help="a name, or name:option=number,option=number; applied in order")
     for name in ("convert", "normalize", "trim", "tone", "timeline"):
         q = sub.add_parser(name)
         if name not in ("tone",):
@@ -45,6 +65,20 @@ def main(args: list[str]) -> int:
     try:
         if a.what == "formats":
             audio.catalog(spark).show(truncate=False)
+        elif a.what == "doctor":
+            return _doctor(spark)
+        elif a.what == "render":
+            with open(a.path, encoding="utf-8") as f:
+                song = Song.from_json(f.read())
+            if wrong := song.validate():
+                raise SonolithError("; ".join(wrong))
+            song.write(spark, a.folder, a.codec)
+        elif a.what == "chain":
+            c = _clips(spark, a.path)
+            for e in a.effect:
+                name, _, options = e.partition(":")
+                c = c.effect(name, **{k: float(v) for k, v in (x.split("=", 1) for x in options.split(",") if x)})
+            audio.write(c.df(), a.folder, c.format, a.codec, overwrite=True)
         elif a.what == "info":
             audio.read(spark, a.path, header_only=True).show(truncate=False, vertical=True)
         elif a.what == "timeline":

@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Sequence
 from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import LAYOUTS, Format, InvalidParameter, frames_of
@@ -27,6 +27,11 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``samples`` in a projection of their own. Folded into a Python function's argument, an expression whose inner lambda names the value of an outer one can't be told from the function; what isn't deterministic is never folded."""
+    return df.withColumn("samples", F.when(F.monotonically_increasing_id() >= 0, F.col("samples")))
+
+
 def bound(f: Callable[..., Column]) -> Callable[..., Column]:
     """For functions whose lambdas name the array: any array expression is evaluated once."""
 

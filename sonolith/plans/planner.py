@@ -22,15 +22,20 @@ from ..operators import stateful as T
 class Clips:
     """An immutable set of clips (clip_id, samples, ...) in one format."""
 
-    def __init__(self, df: DataFrame, fmt: Format, waiting: tuple[Callable[[], K.Kernel | list[K.Kernel]], ...] = ()):
-        self._df, self.format, self._waiting = df, fmt, waiting
+    def __init__(self, df: DataFrame, fmt: Format, waiting: tuple[Callable[[], K.Kernel | list[K.Kernel]], ...] = (), lambdas: bool = False):
+        self._df, self.format, self._waiting, self._lambdas = df, fmt, waiting, lambdas
 
     # ---- plumbing
 
     def _to(self, f: Callable[[Column], Column], fmt: Format | None = None) -> Clips:
         """A step: samples as floats through ``f``, then into the format."""
         base, fmt = self.df(), fmt or self.format
-        return Clips(base.withColumn("samples", A.from_float(f(A.to_float(F.col("samples"), self.format)), fmt)), fmt)
+        return Clips(base.withColumn("samples", A.from_float(f(A.to_float(F.col("samples"), self.format)), fmt)), fmt, lambdas=True)
+
+    def _settled(self) -> Clips:
+        """For a Python function that comes next."""
+        made = self.df()
+        return Clips(A.settled(made) if self._lambdas else made, self.format)
 
     def df(self, tail: bool = True) -> DataFrame:
         if not self._waiting:
@@ -42,7 +47,7 @@ class Clips:
             return [k for m in made for k in (m if isinstance(m, list) else [m])]
 
         s = T.apply(A.to_float(F.col("samples"), self.format), self.format, make, tail)
-        return self._df.withColumn("samples", A.from_float(s, self.format))
+        return (A.settled(self._df) if self._lambdas else self._df).withColumn("samples", A.from_float(s, self.format))
 
     def steps(self) -> list[str]:
         """What waits to be fused."""
@@ -65,7 +70,7 @@ class Clips:
 
     def effect(self, make: Callable[[], K.Kernel | list[K.Kernel]] | str, **options) -> Clips:
         maker = (lambda: K.build(make, **options)) if isinstance(make, str) else make
-        return Clips(self._df, self.format, (*self._waiting, maker))
+        return Clips(self._df, self.format, (*self._waiting, maker), self._lambdas)
 
     def gain(self, db: float) -> Clips:
         return self._to(lambda s: A.gain(s, db))
@@ -136,14 +141,10 @@ class Clips:
         if fmt == self.format and not self._waiting:
             return self
         mid = self.format.as_float().with_(channels=fmt.channels)
-
-        def f(s: Column) -> Column:
-            s = A.channels_to(s, self.format.channels, fmt.channels, self.format.channel_layout)
-            if resampler == "windowed_sinc" and mid.sample_rate != fmt.sample_rate:
-                return T.resample_sinc(s, mid, fmt.sample_rate)
-            return A.resample_linear(s, fmt.channels, mid.sample_rate, fmt.sample_rate)
-
-        return self._to(f, fmt)
+        even = lambda s: A.channels_to(s, self.format.channels, fmt.channels, self.format.channel_layout)
+        if resampler == "windowed_sinc" and mid.sample_rate != fmt.sample_rate:
+            return self._to(even, mid)._settled()._to(lambda s: T.resample_sinc(s, mid, fmt.sample_rate), fmt)
+        return self._to(lambda s: A.resample_linear(even(s), fmt.channels, mid.sample_rate, fmt.sample_rate), fmt)
 
     def to_mono(self) -> Clips:
         return self.convert(self.format.with_(channels=1))
@@ -169,7 +170,7 @@ class Clips:
             factor = F.when(now > float("-inf"), F.pow(F.lit(10.0), (target_db - now) / 20.0)).otherwise(1.0)
             return F.zip_with(s, F.array_repeat(factor, F.size(s)), lambda x, k: x * k)
 
-        return self._to(f)
+        return (self._settled() if mode == "lufs" else self)._to(f)
 
     def envelope(self, note_on: float, **shape) -> Clips:
         rate, ch = float(self.format.sample_rate), self.format.channels
@@ -191,7 +192,7 @@ class Clips:
         there = other.convert(self.format).df().select(F.col("clip_id").alias("other_id"), F.col("samples").alias("other_samples"))
         both = self.df().join(there, F.col("clip_id") == F.col("other_id"), "left")
         made = f(A.to_float(F.col("samples"), self.format), A.to_float(F.coalesce("other_samples", F.array().cast("array<double>")), self.format))
-        return Clips(both.withColumn("samples", A.from_float(made, self.format)).drop("other_id", "other_samples"), self.format)
+        return Clips(both.withColumn("samples", A.from_float(made, self.format)).drop("other_id", "other_samples"), self.format, lambdas=True)
 
     def concat(self, other: Clips) -> Clips:
         return self._with(other, F.concat)
@@ -232,7 +233,7 @@ class Clips:
 
     def stats(self) -> DataFrame:
         """A row a clip; the scalar measures share one pass over the array, the others one Arrow call."""
-        df, ch, s = self.df(), self.format.channels, A.to_float(F.col("samples"), self.format)
+        df, ch, s = self._settled().df(), self.format.channels, A.to_float(F.col("samples"), self.format)
         n = A.n_frames(F.col("samples"), ch)
         base = df.select(
             "clip_id", n.alias("frames"), (n / self.format.sample_rate).alias("duration"), A.peak(s).alias("peak"), A.rms(s).alias("rms"), A.clipped(s, ch).alias("clipped"),

@@ -121,7 +121,8 @@ def project_metadata(headers: DataFrame, rate: int) -> DataFrame:
         more["loops"] = F.transform("loops", lambda x: F.struct(x["kind"].alias("kind"), there(x["start"]).alias("start"), there(x["end"]).alias("end")))
         more["cues"] = F.transform("cues", lambda x: F.struct(x["id"].alias("id"), there(x["position"]).alias("position")))
         more["broadcast"] = F.when(F.col("broadcast").isNotNull(), F.col("broadcast").withField("time_reference", there(F.col("broadcast.time_reference"))))
-    return headers.withColumns({**more, "frames": n, "sample_rate": F.lit(rate), "duration": n / float(rate)})
+    # First what is within arrays: a lambda would read the new rate.
+    return headers.withColumns(more).withColumns({"frames": n, "sample_rate": F.lit(rate), "duration": n / float(rate)})
 
 
 def encode(samples: Column, fmt: Format, codec: str, **options) -> Column:
@@ -205,7 +206,9 @@ def write(df: DataFrame, folder: str, fmt: Format, codec: str = "wav", overwrite
     """Each clip (clip_id, samples) as ``<clip_id>.<extension>`` in a folder."""
     ext = {"aiff": "aiff", "flac": "flac", "raw": "raw"}.get(codec, codec)
     df.sparkSession.dataSource.register(AudioFiles)
-    rows = df.select(F.concat(F.col("clip_id").cast("string"), F.lit(f".{ext}")).alias("name"), encode(F.col("samples"), fmt, codec, **options).alias("content"))
+    from ..functions.samples import settled
+
+    rows = settled(df).select(F.concat(F.col("clip_id").cast("string"), F.lit(f".{ext}")).alias("name"), encode(F.col("samples"), fmt, codec, **options).alias("content"))
     rows.write.format("sound_files").option("path", folder).mode("overwrite" if overwrite else "append").save()
 
 

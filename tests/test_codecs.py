@@ -111,3 +111,48 @@ def test_files_as_rows(spark, tmp_path):
             audio.write(clips, f"{tmp_path}/{codec}", s.format, codec)
         audio.write(clips, f"{tmp_path}/{codec}", s.format, codec, overwrite=True)
     assert audio.catalog(spark).where(F.col("available")).count() == 4
+
+
+def test_typed_metadata_and_chunks_in_and_out(spark, tmp_path):
+    import struct
+
+    s = sound(1, 16, n=1000)
+    data = C.wav_encode(s)
+    chunk = lambda name, b: name + struct.pack("<I", len(b)) + b
+    more = chunk(b"smpl", struct.pack("<9I", 0, 0, 0, 60, 0, 0, 0, 1, 0) + struct.pack("<6I", 0, 2, 100, 900, 0, 0)) + chunk(b"cue ", struct.pack("<I", 2) + b"".join(struct.pack("<IIIIII", i, p, 0, 0, 0, p) for i, p in ((7, 500), (3, 10))))
+    more += chunk(b"bext", b"told".ljust(256, b"\0") + b"me".ljust(32, b"\0") + bytes(32) + b"2024-01-0112:00:00" + struct.pack("<Q", 22_050) + bytes(256))
+    whole = data + more
+    (tmp_path / "a.wav").write_bytes(b"RIFF" + struct.pack("<I", len(whole) - 8) + whole[8:])
+    heads = audio.typed(audio.read(spark, str(tmp_path), header_only=True))
+    for rate, k in ((22_050, 1), (44_100, 2)):
+        r = audio.project_metadata(heads, rate).first()
+        assert [tuple(x) for x in r.loops] == [(2, 100 * k, 900 * k)] and [tuple(x) for x in r.cues] == [(3, 10 * k), (7, 500 * k)]
+        assert (r.broadcast.description, r.broadcast.time_reference, r.frames) == ("told", 22_050 * k, 1000 * k)
+    batch = audio.read_chunks(spark, str(tmp_path), 300).orderBy("seq").collect()
+    assert [(r.start_frame, r.n_frames, r.is_last) for r in batch] == [(0, 300, False), (300, 300, False), (600, 300, False), (900, 100, True)]
+    assert [v for r in batch for v in r.samples] == (s.samples.ravel() / 32768).tolist()
+    stream = audio.read_chunks(spark, str(tmp_path), 300, stream=True)
+    audio.write_stream(stream, f"{tmp_path}/out", s.format, f"{tmp_path}/staging", "flac").awaitTermination()
+    back = audio.read(spark, f"{tmp_path}/out").first()
+    assert back.codec == "flac" and np.abs(np.array(back.samples) - s.samples.ravel()).max() <= 1
+    (tmp_path / "b.raw").write_bytes(C.raw_encode(s, "big", False))
+    r = audio.read(spark, f"{tmp_path}/b.raw", raw_format=s.format, raw_options={"endianness": "big", "signed": False}).first()
+    assert r.samples == s.samples.ravel().tolist()
+    assert C.for_writing("x.aif").name == "aiff"
+    with pytest.raises(UnsupportedFormat):
+        C.for_writing("x.ogg")
+
+
+def test_maps_are_checked_and_paths_stay_inside(spark, tmp_path):
+    from sonolith.model import InvalidParameter, inside, milliseconds
+    from sonolith.plans.planner import Clips
+
+    c = Clips(spark.createDataFrame([(1, [0.0, 0.5, 0.25, 1.0])], "clip_id long, samples array<double>"), Format(2, 8000))
+    assert c.map_frames(lambda p: F.array(p[1], p[0])).df().first().samples == [0.5, 0.0, 1.0, 0.25]
+    for bad in (c.map_samples(lambda x: F.try_divide(F.lit(1.0), x)), c.map_frames(lambda p: F.array(p[0]))):
+        with pytest.raises(Exception, match="map_"):
+            bad.df().collect()
+    assert len(c.envelope_with_tail(0.0001, attack=0.0, decay=0.0, sustain=1.0, release=0.001).df().first().samples) == 18
+    assert inside(str(tmp_path), "a/../b.wav") == f"{tmp_path.resolve()}/b.wav" and milliseconds(250) == 0.25
+    with pytest.raises(InvalidParameter):
+        inside(str(tmp_path), "../x")

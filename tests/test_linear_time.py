@@ -37,3 +37,11 @@ def test_ten_times_the_frames_take_no_hundred_times_the_time(spark, name):
     seconds(spark, STEPS[name], 100)
     short, long = seconds(spark, STEPS[name], 10_000), seconds(spark, STEPS[name], 100_000)
     assert long < 25 * max(short, 0.15), (name, short, long)
+
+
+def test_python_steps_follow_bound_expressions(spark):
+    df = spark.createDataFrame([(i, [float((i * 31 + k) % 200 - 100) for k in range(400)]) for i in range(6)], "clip_id long, samples array<double>").repartition(2)
+    c = Clips(df, Format(2, 8_000, 16, "pcm"))
+    made = c.fade_in(0.01).remove_dc_offset().effect("delay", time=0.01).normalize(-20.0, "lufs").convert(Format(1, 16_000, 16, "pcm"), "windowed_sinc").reverse().resample(12_000)
+    assert made.stats().where("true_peak > 0").count() == 6
+    assert made.df().count() == 6
