@@ -24,97 +24,104 @@ from . import stateful as T
 SPAN = 1024
 
 
-def ringing(c: tuple[float, ...], n: int) -> np.ndarray:
-    """(n, 4): what each of x1, x2, y1, y2 before the block adds to its frames."""
-    b0, b1, b2, a1, a2 = c
-    out = np.zeros((n, 4))
-    for j in range(4):
-        x1, x2, y1, y2 = (1.0 if k == j else 0.0 for k in range(4))
-        for i in range(n):
-            w = b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
-            x2, x1, y2, y1 = x1, 0.0, y1, w
-            out[i, j] = w
-    return out
-
-
-def filter_rows(signal: DataFrame, coefficients: tuple[float, ...], block: int = 65_536) -> DataFrame:
-    """(frame, x) to (frame, y). Frames count from 0 without gaps; blocks of so many frames are rows of arrays on the way."""
-    rows = signal.groupBy(F.floor(F.col("frame") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("r")).select("b", F.transform("r", lambda p: p["x"]).alias("x"))
+Section = tuple[float, ...]
 
-    @F.pandas_udf("array<double>")
-    def rest(x: pd.Series) -> pd.Series:
-        return pd.Series([y.ravel() for y in T.through([K.Biquad(coefficients)], [np.asarray(v, np.float64).reshape(-1, 1) for v in x], Format(1, 8_000), False)], dtype=object)
 
-    first = rows.withColumn("y", rest("x"))
-    last = lambda c, k: F.when(F.size(c) >= k, F.element_at(c, F.greatest(F.size(c) - (k - 1), F.lit(1)))).otherwise(0.0)
-    ends = first.select("b", F.size("x").alias("n"), *[last(F.col(c), k).alias(f"{c}{k}") for c in "xy" for k in (1, 2)])
+def _states(kernel: K.Biquad, clip: int) -> list[float]:
+    """What sections carry: the input's last two samples, and each section's last two."""
+    names = ["x10", "x20"] + [f"{n}{i}" for i in range(len(kernel.now)) for n in ("y1", "y2")]
+    return [float(kernel.state[n][clip, 0]) for n in names]
+
+
+def ringing(sections: tuple[Section, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each number of the state before a block of n frames adds to its frames, (n, states), and to the state after it."""
+    size = 2 + 2 * len(sections)
+    k = K.Biquad(*sections)
+    k.start(size, 1, 8_000)
+    for i in range(len(sections)):
+        for j, names in enumerate((("x1", "y1"), ("x2", "y2"))):
+            k.state[f"{names[0]}{i}"][2 * i + j, 0] = k.state[f"{names[1]}{i}"][2 * i + 2 + j, 0] = 1.0
+    out, still = np.zeros((n, size)), np.zeros((size, 1))
+    for t in range(n):
+        out[t] = k.step(t, still)[:, 0]
+    return out, np.array([_states(k, j) for j in range(size)]).T
+
+
+def filter_rows(signal: DataFrame, coefficients: Section | tuple[Section, ...], block: int = 65_536) -> DataFrame:
+    """(frame, x) through one section or several, one after another, to (frame, y). Frames count from 0 without gaps; blocks of so many frames are rows of arrays on the way."""
+    sections = coefficients if isinstance(coefficients[0], tuple) else (coefficients,)
+    size = 2 + 2 * len(sections)
+    rows = signal.groupBy(F.floor(F.col("frame") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("r")).select("b", F.transform("r", lambda p: p["x"]).alias("x"))
+
+    @F.pandas_udf("y array<double>, ends array<double>")
+    def rest(x: pd.Series) -> pd.DataFrame:
+        made, ends = [], []
+        clips = [np.asarray(v, np.float64).reshape(-1, 1) for v in x]
+        for part in T.blocks(clips, 0):
+            kernel = K.Biquad(*sections)
+            some = [clips[i] for i in part]
+            made += [y.ravel() for y in K.run(kernel, some, 1, 8_000, False)]
+            places = np.empty(len(some), int)
+            places[np.argsort([-len(c) for c in some], kind="stable")] = np.arange(len(some))
+            ends += [_states(kernel, j) for j in places.tolist()]
+        return pd.DataFrame({"y": made, "ends": ends})
+
+    first = rows.withColumn("z", rest("x")).select("b", "z.y", "z.ends")
+    ends = first.select("b", F.size("y").alias("n"), "ends")
 
     def steps(e: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """In the order of blocks: the block, and the map from the state before it to the state after, as a matrix and a shift."""
         tables: dict[int, np.ndarray] = {}
         for r in e.sort_values("b").itertuples():
             if r.n not in tables:
-                m, ring = np.zeros((4, 4)), ringing(coefficients, r.n)[-2:]
-                m[2] = ring[-1]
-                if r.n > 1:
-                    m[3] = ring[-2]
-                else:
-                    m[1, 0] = m[3, 2] = 1.0
-                tables[r.n] = m
-            yield r.b, tables[r.n], np.array([r.x1, r.x2 if r.n > 1 else 0.0, r.y1, r.y2 if r.n > 1 else 0.0])
+                tables[r.n] = ringing(sections, r.n)[1]
+            yield r.b, tables[r.n], np.asarray(r.ends)
 
     def total(e: pd.DataFrame) -> pd.DataFrame:
-        m, v = np.eye(4), np.zeros(4)
+        m, v = np.eye(size), np.zeros(size)
         for _, a, shift in steps(e):
             m, v = a @ m, a @ v + shift
         return pd.DataFrame({"span": [e["span"].iloc[0]], "m": [m.ravel()], "v": [v]})
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = np.zeros(4)
+        state = np.zeros(size)
         for b in batches:
             out = []
             for span, m, v in zip(b["span"], b["m"], b["v"], strict=True):
                 out.append((span, state))
-                state = np.reshape(m, (4, 4)) @ state + v
+                state = np.reshape(m, (size, size)) @ state + v
             yield pd.DataFrame(out, columns=["span", "state"])
 
     def within(e: pd.DataFrame) -> pd.DataFrame:
         state, out = np.asarray(e["state"].iloc[0]), []
         for b, a, shift in steps(e):
-            out.append((b, *state.tolist()))
+            out.append((b, state))
             state = a @ state + shift
-        return pd.DataFrame(out, columns=["b", "s0", "s1", "s2", "s3"])
+        return pd.DataFrame(out, columns=["b", "state"])
 
     ends = ends.withColumn("span", F.floor(F.col("b") / SPAN))
     totals = ends.groupBy("span").applyInPandas(total, "span long, m array<double>, v array<double>")
     # A row for SPAN blocks goes through one task.
     begun = totals.repartition(1).sortWithinPartitions("span").mapInPandas(starts, "span long, state array<double>")
-    states = ends.join(begun, "span").groupBy("span").applyInPandas(within, "b long, s0 double, s1 double, s2 double, s3 double")
+    states = ends.join(begun, "span").groupBy("span").applyInPandas(within, "b long, state array<double>")
 
     @F.pandas_udf("array<double>")
-    def settle(y: pd.Series, s0: pd.Series, s1: pd.Series, s2: pd.Series, s3: pd.Series) -> pd.Series:
+    def settle(y: pd.Series, state: pd.Series) -> pd.Series:
         if not len(y):
             return pd.Series(dtype=object)
-        ring = ringing(coefficients, max(len(v) for v in y))
-        return pd.Series([np.asarray(v) + ring[: len(v)] @ np.array(s) for v, *s in zip(y, s0, s1, s2, s3, strict=True)], dtype=object)
+        ring = ringing(sections, max(len(v) for v in y))[0]
+        return pd.Series([np.asarray(v) + ring[: len(v)] @ np.asarray(s) for v, s in zip(y, state, strict=True)], dtype=object)
 
-    whole = first.join(states, "b").select("b", settle("y", "s0", "s1", "s2", "s3").alias("y"))
+    whole = first.select("b", "y").join(states, "b").select("b", settle("y", "state").alias("y"))
     return whole.select("b", F.posexplode("y").alias("i", "y")).select((F.col("b") * block + F.col("i")).alias("frame"), "y")
 
 
-def cascade(signal: DataFrame, sections: tuple[tuple[float, ...], ...], block: int = 65_536) -> DataFrame:
-    """(frame, x) through sections one after another: (frame, y)."""
-    for c in sections:
-        signal = filter_rows(signal, c, block).withColumnRenamed("y", "x")
-    return signal.withColumnRenamed("x", "y")
-
-
 def block_energies(signal: DataFrame, rate: int, block: int = 65_536) -> DataFrame:
     """Of a mono signal (frame, x): (block, energy), the mean squares of its K-weighted blocks of 0.4 s, one each 0.1 s. A shorter signal is one block."""
     size, step = frames_of(K.BLOCK, rate), max(frames_of(K.STEP, rate), 1)
     unit = math.gcd(size, step)
     n = signal.agg((F.max("frame") + 1).alias("n"))
-    weighted = cascade(signal, K.k_weighting(rate), block)
+    weighted = filter_rows(signal, K.k_weighting(rate), block)
     sums = weighted.groupBy(F.floor(F.col("frame") / unit).alias("u")).agg(F.sum(F.col("y") * F.col("y")).alias("e"))
     # A unit lies in the blocks that begin at most so many units before it.
     low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("u") - size // unit + 1) / (step // unit)))
