@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 TRAIN_ROWS, SIGNIFICANT, BINS, LEAST_DOCS = 20_000, 6.0, 8, 3
-BEGINNINGS, MOST_WORDS, SLICE, BLOCK = (3, 4, 5, 6), 3, 8_000_000, 1024
+BEGINNINGS, MOST_WORDS, SLICE, BLOCK = (3, 4, 5, 6), 3, 1_000_000, 1024
 TARGETS = ("low", "toxic")
 # What lies between words: all but letters, and numbers that are no decimal digits.
 _BETWEEN = r"[^\pL\p{Nl}\p{No}]+"
@@ -169,12 +169,8 @@ class Classifier:
         return np.concatenate(out)
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, size: int, ridge: float = 1.0, steps: int = 300) -> np.ndarray:
-    """Weights over ``size`` columns, given each row's columns that are one, by L-BFGS; a ridge on all but the last, the constant."""
-    blocks = []
-    for i in range(0, len(rows), BLOCK):
-        lengths = np.array([len(r) for r in rows[i : i + BLOCK]])
-        blocks.append((np.concatenate(rows[i : i + BLOCK]), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths, y[i : i + BLOCK]))
+def _logistic(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], size: int, ridge: float = 1.0, steps: int = 300) -> np.ndarray:
+    """Weights over ``size`` columns by L-BFGS, given blocks of rows: their columns that are one, where each row's begin, how many they are, and what is true; a ridge on all but the last, the constant."""
     penalty = np.full(size, ridge)
     penalty[-1] = 1e-3
 
@@ -242,6 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
         beyond.append((F.abs(F.col(t) - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1e-9) >= SIGNIFICANT).alias(t))
     picked = sums.select("mark", *beyond).where(" OR ".join(TARGETS)).orderBy("mark").toPandas()
     chosen = picked["mark"].to_numpy(np.int64)
+    kind = np.uint16 if STYLES * BINS + len(chosen) < 2**16 else np.int32  # of a column's number
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A batch as one row of packed arrays: the driver holds no object for each mark."""
@@ -251,27 +248,40 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
                 m = np.asarray(m, np.int64)
                 at = np.searchsorted(chosen, m)
                 at[at == len(chosen)] = 0
-                held.append(at[chosen[at] == m].astype(np.int32) if len(chosen) else np.zeros(0, np.int32))
+                held.append(at[chosen[at] == m].astype(kind) if len(chosen) else np.zeros(0, kind))
             if held:
                 y, style = b[list(TARGETS)].to_numpy(np.int8), np.array(b["style"].tolist(), float)
                 packed = [y, style, np.array([len(h) for h in held], np.int32), np.concatenate(held)]
                 yield pd.DataFrame({k: [v.tobytes()] for k, v in zip(("y", "style", "lengths", "held"), packed, strict=True)})
 
     found = rows.mapInPandas(pick, "y binary, style binary, lengths binary, held binary").collect()
-    y, style, lengths, held = (np.concatenate([np.frombuffer(r[k], kind) for r in found]) for k, kind in (("y", np.int8), ("style", float), ("lengths", np.int32), ("held", np.int32)))
+    y, style, lengths, held = (np.concatenate([np.frombuffer(r[k], t) for r in found]) for k, t in (("y", np.int8), ("style", float), ("lengths", np.int32), ("held", kind)))
     del found
     y, style = y.reshape(-1, 2).astype(float), style.reshape(-1, STYLES)
     model = Classifier(np.quantile(style, np.arange(1, BINS) / BINS, axis=0).T, chosen, np.zeros((0, 2)), np.zeros(2))
     size = STYLES * BINS + len(chosen) + 1
+    begins = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+    def block(at: int, own: np.ndarray, true: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Some rows' columns that are one: bins, the target's own marks and the constant."""
+        to = min(at + BLOCK, len(lengths))
+        marks = held[begins[at] : begins[to]]
+        mine = own[marks]
+        row = np.repeat(np.arange(to - at), lengths[at:to])[mine]
+        many = np.bincount(row, minlength=to - at)
+        sizes = many + STYLES + 1
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), kind)
+        out[starts[:, None] + np.arange(STYLES)] = model.bins(style[at:to])
+        out[starts[row] + STYLES + np.arange(len(row)) - (np.cumsum(many) - many)[row]] = marks[mine].astype(np.int64) + STYLES * BINS
+        out[starts + sizes - 1] = size - 1
+        return out, starts, sizes, true[at:to]
+
     weights = []
     for i, t in enumerate(TARGETS):
         # Each target's model has its own marks.
-        own, columns, start = picked[t].to_numpy(bool), [], 0
-        for k, n_held in enumerate(lengths.tolist()):
-            h = held[start : start + n_held]
-            start += n_held
-            columns.append(np.concatenate([model.bins(style[k]), STYLES * BINS + h[own[h]], [size - 1]]).astype(np.int32))
-        weights.append(_logistic(columns, y[:, i], size))
+        own = picked[t].to_numpy(bool)
+        weights.append(_logistic([block(at, own, y[:, i]) for at in range(0, len(lengths), BLOCK)], size))
     model.weights = np.stack(weights, axis=1)
     share = (y.sum(0) + 0.5) / (len(y) + 1)
     model.prior = np.log(share / (1 - share))
