@@ -1,11 +1,8 @@
-"""Near duplicates by the share of common shingles: MinHash candidates, exact verification.
-
-Documents with equal sets of distinct shingles are one class from the start. Candidates are classes
-that agree in one of BANDS independent bands of ROWS minima each: a pair with share J misses them all
-with probability (1 - J^ROWS)^BANDS, 0.000015 at 0.8. Every link is verified on the whole shingle
-sets. A band's bucket is never cut. Its members are first compared with one of them; what these links
-leave apart is compared block with block inside a task, which returns only links, so a large group
-of near copies makes no row a pair, and the components are those of all candidates.
+"""Exact similarity of sets of distinct shingles, and links by it. The candidates are found by simhash.
+
+Documents with equal sets of distinct shingles are one class from the start. Every link is verified on the
+whole shingle sets. What other links leave apart in a large bucket is compared block with block inside a
+task, which returns only links, so a large group of near copies makes no row a pair.
 """
 
 from __future__ import annotations
@@ -15,28 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .graph import components
 
-BANDS, ROWS, SEED, BLOCK = 28, 5, 42, 4096
+SEED = 42
 #: Sets, and bytes of sets, in a block of a bucket; hashes that are compared at once.
 MEMBERS, SET_BYTES, COLUMNS = 256, 16_000_000, 8192
-_FACTORS = np.random.default_rng(SEED).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key for each band of minima over distinct hashes; none without hashes."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-    for i in range(0, len(low), BLOCK):
-        np.minimum(least, (low[None, i : i + BLOCK] * _FACTORS).min(axis=1), out=least)
-    bands = least.astype("<u4").reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -46,9 +29,9 @@ def jaccard(x: bytes, y: bytes) -> float:
     return both / max(1, len(p) + len(q) - both)
 
 
-def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, node, n, keys): the text's hash, the digest and size of its set of distinct shingles, its bands' keys."""
-    from .simhash import shingle_hashes
+def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", prints: int = 0) -> DataFrame:
+    """(doc_id, th, node, n, prints): the text's hash, the digest and size of its set of distinct shingles, and that many fingerprints of the set."""
+    from .simhash import set_prints, shingle_hashes
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
 
@@ -56,9 +39,9 @@ def classes(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
         for b in batches:
             sets = [np.unique(shingle_hashes(t if isinstance(t, str) else "", words)) for t in b["text"]]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield b[["doc_id", "th"]].assign(node=node, n=[len(s) for s in sets], keys=[band_keys(s) for s in sets])
+            yield b[["doc_id", "th"]].assign(node=node, n=[len(s) for s in sets], prints=[set_prints(s, prints).tobytes() for s in sets])
 
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, th long, node long, n long, keys array<long>")
+    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, th long, node long, n long, prints binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,11 +59,6 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str = "
     return texts.mapInPandas(run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
-def _comparable(n: str, m: str, similarity: float) -> Column:
-    """Sizes that allow the similarity."""
-    return F.least(n, m) / F.greatest(n, m) >= similarity
-
-
 def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that share in common, a stored table."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -94,11 +72,6 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, simil
     return stage(both.where(share("x", "y") >= similarity).select("a", "b"), "links")
 
 
-def star_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Of buckets' members (key, node, n, rep, m): each with its bucket's representative, as pairs (a, b)."""
-    return shared.where((F.col("node") != F.col("rep")) & _comparable("n", "m", similarity)).select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-
-
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many hashes each of the left sets has in common with each of the right ones."""
     sizes = np.array([len(x) for x in [*left, *right]])
@@ -170,18 +143,3 @@ def apart_links(docs: DataFrame, nodes: DataFrame, shared: DataFrame, roots: Dat
         return pd.DataFrame(_joined(left, right, similarity) if len(left) and len(right) else [], columns=["a", "b"], dtype=np.int64)
 
     return stage(dealt.join(sets, "node").groupBy("key", "alike", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "links")
-
-
-def rooted(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, root), a stored table: equal roots for what links of at least that similarity join."""
-    made = stage(classes(docs, words, id_col, text_col), "classes")
-    nodes = stage(made.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first(F.struct(F.col("doc_id").alias("k0"), F.col("th").alias("k1"))).alias("k")), "nodes")
-    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
-    reps = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = stage(buckets.join(reps.select("key", F.col("x.node").alias("rep"), F.col("x.n").alias("m"), "members"), "key"), "buckets")
-    found = links(docs, nodes, stage(star_pairs(shared, similarity), "pairs"), words, similarity, id_col, text_col)
-    roots = stage(components(found), "roots")
-    more = apart_links(docs, nodes, shared, roots, words, similarity, id_col, text_col)
-    if more is not None and not more.isEmpty():
-        roots = stage(components(found.unionByName(more)), "roots")
-    return stage(made.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")), "rooted")

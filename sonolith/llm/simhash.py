@@ -6,13 +6,18 @@ segment, and looks up the small Hamming ball around each of its segments. What t
 is verified on all 64 bits within the join. Components need no link twice: a look-up first meets one entry
 of its bucket, and then only what that leaves apart. m is chosen by the number of fingerprints: more rows look up longer segments
 with larger balls, so that a table's entries stay short. Any m finds every link.
+
+Links by similarity take as candidates what several independent SimHash fingerprints of BITS bits
+bring together: a table a segment of each fingerprint, entries that agree in it verified on all its bits
+(NEAR), the matches of all fingerprints united, and each verified on the whole shingle sets (see minhash). Their
+number follows the similarity: a pair at it is missed with probability MISS.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pandas as pd
@@ -21,10 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import stage
+from .common import release, stage
 from .graph import components
 
 WORDS, MAX_BITS, SEED, SKETCH = 4, 4, 42, 128
+#: Fingerprints for similarity: their bits, how many may differ, and the chance that all miss a pair.
+BITS, NEAR, MISS = 128, 34, 1e-7
+#: Entries of a table in one task; members and near pairs a member from which a bucket is dense.
+ENTRIES, LARGE, PAIRS = 1 << 19, 1024, 8
+_ENTRY = np.dtype([("node", "<i8"), ("n", "<u4"), ("x", "<u8", 2)])
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, 2048, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _ONES = np.uint64(0x0101010101010101)
 _PLACES = 1 << (np.arange(8)[:, None] + 8 * np.arange(8)[None, :]).astype(np.uint64)
 
@@ -181,10 +192,185 @@ def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFra
     return both.where(share("x", "y") >= least).select("a", "b")
 
 
+def set_prints(hashes: np.ndarray, count: int) -> np.ndarray:
+    """That many independent SimHash fingerprints of BITS bits of a set of distinct hashes, as 64-bit words: the bits set in over half of them."""
+    words = count * BITS // 64
+    counts = np.zeros((words, 8, 8), np.int64)  # by word, byte, bit of a byte
+    for at in range(0, len(hashes), 255 * 16):
+        part = hashes[at : at + 255 * 16]
+        mixed = part[None, :] * _FACTORS[:words]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        for low in range(0, len(part), 255):  # a byte lane holds up to 255
+            lanes = mixed[:, low : low + 255]
+            for i in range(8):
+                counts[:, :, i] += ((lanes >> np.uint64(i)) & _ONES).sum(axis=1, dtype=np.uint64).astype("<u8").view(np.uint8).reshape(words, 8)
+    return np.packbits((2 * counts > len(hashes)).reshape(words, 64), axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+def plan_prints(rows: int, similarity: float) -> tuple[int, int]:
+    """(fingerprints, segments of each) for that many rows: longer segments for more rows, and fingerprints enough that all tables miss a pair of that similarity with probability MISS.
+
+    Two large sets differ in a bit with the probability of the angle between them, which is widest for sets alike in size.
+    """
+    m = 10 if rows <= 1 << 20 else 8 if rows <= 1 << 25 else 6
+    agree = (1 - acos(min(1.0, 2 * similarity / (1 + similarity))) / pi) ** (BITS / m)
+    return max(1, ceil(log(MISS) / log(1 - agree) / m)) if agree < 1 else 1, m
+
+
+def _cuts(m: int) -> list[tuple[int, int, int]]:
+    """(word, lowest bit, bits) of m segments of BITS bits; none lies in two words."""
+    half = m // 2
+    return [(w, a, b - a) for w in range(2) for a, b in zip([64 * i // half for i in range(half)], [64 * (i + 1) // half for i in range(half)], strict=True)]
+
+
+def _values(x: np.ndarray, cut: tuple[int, int, int]) -> np.ndarray:
+    word, low, bits = cut
+    return (x[:, word] >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+
+
+def _columns(e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Both words and the size of entries, each in one piece."""
+    return np.ascontiguousarray(e["x"][:, 0]), np.ascontiguousarray(e["x"][:, 1]), e["n"].astype(float)
+
+
+def _alike(columns: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Of pairs of entries, the places of those that differ in at most NEAR bits and have sizes that allow the similarity."""
+    x, y, n = columns
+    at = np.flatnonzero(np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= NEAR)
+    n, m = n[i[at]], n[j[at]]
+    return at[np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6]
+
+
+def table_pairs(entries: np.ndarray, cut: tuple[int, int, int], similarity: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Of one table's entries: near pairs of nodes that share a bucket, and the (value, entries) of dense buckets.
+
+    A dense bucket has more than LARGE members or more than PAIRS near pairs a member; of its pairs only those with its first member are returned.
+    """
+    v = _values(entries["x"], cut)
+    order = np.lexsort((entries["node"], v))
+    e, v = entries[order], v[order]
+    starts = np.flatnonzero(np.diff(v, prepend=v[:1] + np.uint64(1))) if len(v) else np.zeros(0, np.int64)
+    sizes = np.diff(starts, append=len(v))
+    bucket = np.repeat(np.arange(len(starts)), sizes)
+    dense, near = sizes > LARGE, np.zeros(len(starts), np.int64)
+    ends = starts + sizes
+    columns, last = _columns(e), np.repeat(ends, sizes)
+    left, right, step = [], [], 0
+    alive = np.flatnonzero(~dense[bucket])
+    while len(alive):
+        step += 1
+        alive = alive[alive + step < last[alive]]
+        i = alive[_alike(columns, alive, alive + step, similarity)]
+        left.append(i)
+        right.append(i + step)
+        if len(i):
+            near += np.bincount(bucket[i], minlength=len(starts))
+            dense |= near > PAIRS * sizes
+            alive = alive[~dense[bucket[alive]]]
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    single = ~dense[bucket[i]]
+    stars = np.flatnonzero(dense[bucket] & (np.arange(len(v)) != starts[bucket]))
+    firsts = starts[bucket[stars]]
+    at_star = _alike(columns, stars, firsts, similarity)
+    i, j = np.concatenate([i[single], firsts[at_star]]), np.concatenate([j[single], stars[at_star]])
+    pairs = np.stack([e["node"][i], e["node"][j]], axis=1)
+    return pairs, [(int(v[starts[k]]), e[starts[k] : ends[k]]) for k in np.flatnonzero(dense)]
+
+
+def candidates(nodes: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """Of classes (node, n, prints) made for that many rows: near pairs (a, b), and, where ``dense`` is true, dense buckets (key, members), a stored table.
+
+    A task has the entries of one fingerprint, or, of more rows, a range of one of its tables.
+    """
+    count, m = plan_prints(rows, similarity)
+    cuts, parts = _cuts(m), ceil(rows / ENTRIES)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = np.frombuffer(b"".join(b["prints"]), "<u8").reshape(len(b), count, 2)
+            out = []
+            for f in range(count):
+                e = np.empty(len(b), _ENTRY)
+                e["node"], e["n"], e["x"] = b["node"], b["n"], words[:, f]
+                if parts <= 1:
+                    out.append((f, -1, 0, e.tobytes()))
+                    continue
+                for s, cut in enumerate(cuts):
+                    part = (_values(e["x"], cut) * np.uint64(parts)) >> np.uint64(cut[2])
+                    out += [(f, s, int(p), e[part == p].tobytes()) for p in np.unique(part)]
+            yield pd.DataFrame(out, columns=["f", "s", "part", "entries"])
+
+    def compare(rows_: pd.DataFrame) -> pd.DataFrame:
+        f, s = int(rows_["f"].iloc[0]), int(rows_["s"].iloc[0])
+        e, found, full = np.frombuffer(b"".join(rows_["entries"]), _ENTRY), [], []
+        for at in range(m) if s < 0 else [s]:
+            pairs, dense = table_pairs(e, cuts[at], similarity)
+            found.append(np.sort(pairs, axis=1))
+            full += [((f * m + at) << 40 | value, members.tobytes()) for value, members in dense]
+        # No nulls: they would make nodes floating-point numbers.
+        near, none = np.unique(np.concatenate(found), axis=0), [0] * len(full)
+        ends = np.concatenate([near, np.array([none, none], np.int64).T])
+        keys = np.array([0] * len(near) + [key for key, _ in full], np.int64)
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1], "dense": np.arange(len(keys)) >= len(near), "key": keys, "members": [b""] * len(near) + [x for _, x in full]})
+
+    dealt = nodes.select("node", "n", "prints").mapInPandas(deal, "f int, s int, part int, entries binary")
+    return stage(dealt.groupBy("f", "s", "part").applyInPandas(compare, "a long, b long, dense boolean, key long, members binary"), "candidates")
+
+
+def left_apart(dense: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Of dense buckets (key, members): (key, node, n, members) of those with a near member that the roots (node, root) leave apart, a stored table."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, members in zip(b["key"], b["members"], strict=True):
+                e = np.frombuffer(members, _ENTRY)
+                yield pd.DataFrame({"key": key, "node": e["node"], "n": e["n"].astype(np.int64), "x": e["x"][:, 0].view(np.int64), "y": e["x"][:, 1].view(np.int64)})
+
+    def apart(b: pd.DataFrame) -> pd.DataFrame:
+        e = np.empty(len(b), _ENTRY)
+        e["node"], e["n"] = b["node"], b["n"]
+        e["x"] = np.stack([b["x"].to_numpy(), b["y"].to_numpy()], axis=1).view(np.uint64)
+        root = pd.factorize(b["root"])[0]
+        main, columns = np.bincount(root).argmax(), _columns(e)
+        # A pair that is apart has an end outside the most frequent root.
+        every, marked = np.arange(len(e)), np.zeros(len(e), bool)
+        for i in np.flatnonzero(root != main):
+            near = every[_alike(columns, np.full(len(e), i), every, similarity)]
+            near = near[root[near] != root[i]]
+            if len(near):
+                marked[near] = marked[i] = True
+        return b.loc[marked, ["key", "node", "n"]]
+
+    rows = dense.mapInPandas(unpack, "key long, node long, n long, x long, y long").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = rows.select("key", "node", "n", "x", "y", "root").groupBy("key").applyInPandas(apart, "key long, node long, n long")
+    # Three members or more are compared; here two are enough.
+    return stage(found.withColumn("members", F.lit(3)), "apart")
+
+
+def _rooted_by_similarity(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, root), a stored table: equal roots for what links of at least that similarity join."""
+    rows = docs.count()
+    made = stage(minhash.classes(docs, words, id_col, text_col, plan_prints(rows, similarity)[0]), "classes")
+    nodes = stage(made.groupBy("node").agg(F.first("n").alias("n"), F.first("prints").alias("prints"), F.first(F.struct(F.col("doc_id").alias("k0"), F.col("th").alias("k1"))).alias("k")), "nodes")
+    near = candidates(nodes, rows, similarity)
+    pairs = stage(near.where("NOT dense").select("a", "b").distinct(), "pairs")
+    found = minhash.links(docs, nodes, pairs, words, similarity, id_col, text_col)
+    roots = stage(components(found), "roots")
+    shared = left_apart(near.where("dense").select("key", "members"), roots, similarity)
+    more = minhash.apart_links(docs, nodes, shared, roots, words, similarity, id_col, text_col)
+    if more is not None and not more.isEmpty():
+        roots = stage(components(found.unionByName(more)), "roots")
+    out = stage(made.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")), "rooted")
+    release(made, nodes, near, pairs, shared)
+    return out
+
+
 def _rooted(docs: DataFrame, words: int, max_bits: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, fp, root), a stored table; without fp if there is a similarity."""
     if similarity is not None:
-        return minhash.rooted(docs, words, similarity, id_col, text_col)
+        return _rooted_by_similarity(docs, words, similarity, id_col, text_col)
     fps = stage(fingerprints(docs, words, False, id_col, text_col), "fp")
     distinct = stage(fps.select("fp").distinct(), "fps")
     roots = linked(distinct, max_bits).withColumnRenamed("node", "fp")
@@ -208,7 +394,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each component: the one with the smallest id (null ids last); of rows alike in id and text, one.
 
-    With ``similarity`` the links are documents with that share of common distinct shingles (see minhash), whatever their fingerprints.
+    With ``similarity`` the links are documents with that share of common distinct shingles, among the near ones of several wider fingerprints
+    of these shingles, whose number follows the similarity; ``max_bits`` is not used.
     """
     rooted = _rooted(docs, words, max_bits, similarity, id_col, text_col)
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("k1"), F.col("x.th").alias("k2"))
