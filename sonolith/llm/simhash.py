@@ -9,8 +9,9 @@ with larger balls, so that a table's entries stay short. Any m finds every link.
 
 Links by similarity take as candidates what several independent SimHash fingerprints of BITS bits
 bring together: a table a segment of each fingerprint, entries that agree in it verified on all its bits
-(NEAR), the matches of all fingerprints united, and each verified on the whole shingle sets (see minhash). Their
-number follows the similarity: a pair at it is missed with probability MISS.
+(NEAR), the matches of all fingerprints united to clusters. In a cluster each member is verified with the first, and what
+that leaves apart is compared in place, all on the whole shingle sets (see minhash), so matches make no row a pair. The
+number of fingerprints follows the similarity: a pair at it is missed with probability MISS.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .graph import components
 WORDS, MAX_BITS, SEED, SKETCH = 4, 4, 42, 128
 #: Fingerprints for similarity: their bits, how many may differ, and the chance that all miss a pair.
 BITS, NEAR, MISS = 128, 34, 1e-7
-#: Entries of a table in one task; members and near pairs a member from which a bucket is dense.
-ENTRIES, LARGE, PAIRS = 1 << 19, 1024, 8
+#: Entries of a table in one task; members and near pairs a member from which a bucket is dense; members of a cluster that are compared in place.
+ENTRIES, LARGE, PAIRS, CLUSTER = 1 << 19, 1024, 8, 1 << 14
 _ENTRY = np.dtype([("node", "<i8"), ("n", "<u4"), ("x", "<u8", 2)])
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, 2048, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _ONES = np.uint64(0x0101010101010101)
@@ -279,12 +280,47 @@ def table_pairs(entries: np.ndarray, cut: tuple[int, int, int], similarity: floa
     return pairs, [(int(v[starts[k]]), e[starts[k] : ends[k]]) for k in np.flatnonzero(dense)]
 
 
-def candidates(nodes: DataFrame, rows: int, similarity: float) -> DataFrame:
-    """Of classes (node, n, prints) made for that many rows: near pairs (a, b), and, where ``dense`` is true, dense buckets (key, members), a stored table.
-
-    A task has the entries of one fingerprint, or, of more rows, a range of one of its tables.
+def grown(e: np.ndarray, similarity: float) -> np.ndarray:
+    """Of entries: pairs of nodes, near ones, as many as join all that near pairs join. A member that is joined is compared only with what is not."""
+    columns, left, out = _columns(e), np.arange(len(e)), [np.zeros((0, 2), np.int64)]
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            hit = _alike(columns, np.full(len(left), i), left, similarity)
+            if len(hit):
+                out.append(np.stack([np.full(len(hit), e["node"][i]), e["node"][left[hit]]], axis=1))
+                todo += left[hit].tolist()
+                left = np.delete(left, hit)
+    return np.concatenate(out)
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """As few of the pairs of nodes as join all that they join."""
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    label, kept, rest = np.arange(len(nodes)), [np.zeros(0, np.int64)], np.arange(len(pairs))
+    while True:
+        low, high = np.sort(label[ends[rest]], axis=1).T
+        rest, low, high = (x[low != high] for x in (rest, low, high))
+        if not len(rest):
+            return pairs[np.sort(np.concatenate(kept))]
+        # Each label that has a lower one beside it goes under the lowest, so there is no circle.
+        order = np.lexsort((low, high))
+        first = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+        kept.append(rest[first])
+        above = np.arange(len(nodes))
+        above[high[first]] = low[first]
+        while (above[above] != above).any():
+            above = above[above]
+        label = above[label]
+
+
+def _compared(nodes: DataFrame, rows: int, count: int, m: int, similarity: float, whole: bool) -> DataFrame:
+    """Of that many classes (node, n, prints): near pairs (a, b), and, where ``dense`` is true, dense buckets (key, members).
+
+    Not ``whole``, only as many near pairs of each task as join what its near pairs join, and no buckets.
     """
-    count, m = plan_prints(rows, similarity)
     cuts, parts = _cuts(m), ceil(rows / ENTRIES)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,15 +344,44 @@ def candidates(nodes: DataFrame, rows: int, similarity: float) -> DataFrame:
         for at in range(m) if s < 0 else [s]:
             pairs, dense = table_pairs(e, cuts[at], similarity)
             found.append(np.sort(pairs, axis=1))
-            full += [((f * m + at) << 40 | value, members.tobytes()) for value, members in dense]
+            if whole:
+                full += [((f * m + at) << 40 | value, members.tobytes()) for value, members in dense]
+            else:
+                found += [np.sort(grown(members, similarity), axis=1) for _, members in dense]
         # No nulls: they would make nodes floating-point numbers.
         near, none = np.unique(np.concatenate(found), axis=0), [0] * len(full)
+        if not whole:
+            near = forest(near)
         ends = np.concatenate([near, np.array([none, none], np.int64).T])
         keys = np.array([0] * len(near) + [key for key, _ in full], np.int64)
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1], "dense": np.arange(len(keys)) >= len(near), "key": keys, "members": [b""] * len(near) + [x for _, x in full]})
 
     dealt = nodes.select("node", "n", "prints").mapInPandas(deal, "f int, s int, part int, entries binary")
-    return stage(dealt.groupBy("f", "s", "part").applyInPandas(compare, "a long, b long, dense boolean, key long, members binary"), "candidates")
+    return dealt.groupBy("f", "s", "part").applyInPandas(compare, "a long, b long, dense boolean, key long, members binary")
+
+
+def candidates(nodes: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """Of classes (node, n, prints) made for that many rows: pairs (a, b), and, where ``dense`` is true, what is to be compared in place if links leave it apart; a stored table.
+
+    Near pairs join classes to clusters. A task has the entries of one fingerprint, or, of more rows, a range of one of its tables, and returns as
+    many near pairs as join its part of the clusters, so a large group makes less than a row a member and task. The pairs are each member with
+    the first of its cluster; clusters of three or more have a dense row (a, key) for each member. Clusters of over CLUSTER members return all
+    their near pairs instead, and their dense buckets (key, members).
+    """
+    count, m = plan_prints(rows, similarity)
+    joined = stage(_compared(nodes, rows, count, m, similarity, False).select("a", "b").distinct(), "joined")
+    found = components(joined)
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
+    clusters = stage(found.join(sizes, "root"), "clusters")
+    none = [F.lit(0).cast("long").alias("key"), F.lit(b"").alias("members")]
+    small = clusters.where(F.col("c") <= CLUSTER)
+    out = small.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(False).alias("dense"), *none)
+    out = out.unionByName(small.where("c > 2").select(F.col("node").alias("a"), F.col("root").alias("b"), F.lit(True).alias("dense"), F.col("root").alias("key"), none[1]))
+    if more := clusters.where(F.col("c") > CLUSTER).count():
+        out = out.unionByName(_compared(nodes.join(clusters.where(F.col("c") > CLUSTER), "node", "left_semi"), more, count, m, similarity, True))
+    out = stage(out, "candidates")
+    release(joined, clusters)
+    return out
 
 
 def left_apart(dense: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -358,12 +423,16 @@ def _rooted_by_similarity(docs: DataFrame, words: int, similarity: float, id_col
     pairs = stage(near.where("NOT dense").select("a", "b").distinct(), "pairs")
     found = minhash.links(docs, nodes, pairs, words, similarity, id_col, text_col)
     roots = stage(components(found), "roots")
-    shared = left_apart(near.where("dense").select("key", "members"), roots, similarity)
+    shared = near.where("dense AND length(members) = 0").select("key", F.col("a").alias("node")).join(nodes.select("node", "n"), "node").withColumn("members", F.lit(3))
+    full, kept = near.where("length(members) > 0").select("key", "members"), []
+    if not full.isEmpty():
+        kept = [left_apart(full, roots, similarity)]
+        shared = shared.unionByName(kept[0].select(shared.columns))
     more = minhash.apart_links(docs, nodes, shared, roots, words, similarity, id_col, text_col)
     if more is not None and not more.isEmpty():
         roots = stage(components(found.unionByName(more)), "roots")
     out = stage(made.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")), "rooted")
-    release(made, nodes, near, pairs, shared)
+    release(made, nodes, near, pairs, *kept)
     return out
 
 

@@ -113,3 +113,67 @@ def test_members_of_dense_buckets_that_links_leave_apart(spark):
     assert {r.node for r in got.collect()} == {made[i].node for i in range(5, 20)} and got.where(F.col("members") < 3).count() == 0
     sets = [shingles(t) for t in texts]
     assert all(share(sets[i], sets[j]) >= 0.8 for g in range(4) for i, j in combinations(range(5 * g, 5 * g + 5), 2))
+
+
+def joined(pairs, nodes):
+    up = {x: x for x in nodes}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {x: top(x) for x in nodes}
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(5)
+    for n, k in ((0, 0), (2, 1), (50, 20), (50, 300), (400, 300), (400, 5000)):
+        pairs = np.unique(np.sort(rng.integers(-n, n + 1, (k, 2)), axis=1), axis=0) * 10**15
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        got, nodes = simhash.forest(pairs), np.unique(pairs).tolist()
+        want = joined(pairs.tolist(), nodes)
+        assert joined(got.tolist(), nodes) == want and len(got) == len(nodes) - len(set(want.values()))
+        assert {tuple(p) for p in got.tolist()} <= {tuple(p) for p in pairs.tolist()}
+
+
+def test_grown_members_of_a_bucket():
+    rng = np.random.default_rng(6)
+    e = np.zeros(300, simhash._ENTRY)
+    e["node"], e["n"], e["x"] = rng.permutation(300) - 150, rng.integers(80, 120, 300), rng.integers(0, 2**63, (300, 2))
+    # Chains, whose ends are far from each other.
+    for i in range(300):
+        if i % 30:
+            e["x"][i] = e["x"][i - 1] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (2, 6), dtype=np.uint64), axis=1)
+    i, j = np.triu_indices(300, 1)
+    at = simhash._alike(simhash._columns(e), i, j, 0.8)
+    every = np.stack([e["node"][i[at]], e["node"][j[at]]], axis=1).tolist()
+    got, nodes = simhash.grown(e, 0.8).tolist(), e["node"].tolist()
+    want = joined(every, nodes)
+    assert joined(got, nodes) == want and len(got) == 300 - len(set(want.values())) and 10 <= len(set(want.values())) < 250
+
+
+def test_a_large_group_makes_candidates_in_proportion(spark, tmp_path, monkeypatch):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    said = [rnd.choice(words) for _ in range(70)]
+    # All share a passage, and few are near copies.
+    rows = [" ".join(said + [rnd.choice(words) for _ in range(rnd.randint(20, 32))]) for _ in range(400)]
+    for k in range(0, 40, 2):
+        rows[k + 200] = rows[k] + " and more"
+    rows = list(enumerate(rows))
+    sets = [shingles(t) for _, t in rows]
+    assert sum(0.5 < share(a, b) < 0.8 for a, b in combinations(sets, 2)) > 50_000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count, m = simhash.plan_prints(len(rows), 0.8)
+    nodes = minhash.classes(df, 5, prints=count)
+    assert simhash._compared(nodes, len(rows), count, m, 0.8, False).count() < count * len(rows)
+    assert simhash.candidates(nodes, len(rows), 0.8).count() < 2 * len(rows)
+    kept = brute_kept(rows)
+    assert len(kept) < len(rows)
+    # Clusters that are compared in place; ones too large for that.
+    for value in (1 << 14, 50):
+        monkeypatch.setattr(simhash, "CLUSTER", value)
+        assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, df, str(tmp_path)).collect()) == kept
+    assert simhash.candidates(nodes, len(rows), 0.8).where("length(members) > 0").count() > 0
