@@ -1,13 +1,14 @@
 """Kernels over clips in Spark: one Arrow batch holds many clips, which step together.
 
 A clip is one row, so no shuffle is needed. Consecutive kernels are one function call: a chain
-crosses between the JVM and Python once.
+crosses between the JVM and Python once. Clips leave a function in batches of their own, bounded by
+samples: a batch of rows that comes in may give many times its size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,22 +18,24 @@ from pyspark.sql import functions as F
 from ..model import Format
 from . import kernels as K
 
-#: Samples, tail included, that a batch steps at once.
+#: Samples, tail and kernel state included, that step at once.
 BLOCK_SAMPLES = 4_000_000
+#: Samples that a function hands to the JVM at a time.
+SENT_SAMPLES = 1_000_000
 
 
 def _as_frames(x, channels: int) -> np.ndarray:
     return np.asarray(x, np.float64).reshape(-1, channels)
 
 
-def blocks(clips: list[np.ndarray], more: int) -> list[range]:
-    """Runs of clips whose padded block stays within the bound; a longer clip is alone."""
+def blocks(clips: list[np.ndarray], more: int, held: int = 0) -> list[range]:
+    """Runs of clips whose padded block, with ``held`` numbers a clip besides, stays within the bound; a longer clip is alone."""
     out, at = [], 0
     while at < len(clips):
         to, longest = at, 0
         while to < len(clips):
             longest = max(longest, len(clips[to]) + more)
-            if to > at and longest * (to - at + 1) * clips[to].shape[1] > BLOCK_SAMPLES:
+            if to > at and (longest * clips[to].shape[1] + held) * (to - at + 1) > BLOCK_SAMPLES:
                 break
             to += 1
         out.append(range(at, to))
@@ -40,23 +43,41 @@ def blocks(clips: list[np.ndarray], more: int) -> list[range]:
     return out
 
 
-def through(chain: Sequence[K.Kernel], clips: list[np.ndarray], fmt: Format, tail: bool) -> list[np.ndarray]:
-    for kernel in chain:
-        more = kernel.tail(fmt.sample_rate) if tail else 0
-        done: list[np.ndarray] = []
-        for part in blocks(clips, more):
-            done += K.run(kernel, [clips[i] for i in part], fmt.channels, fmt.sample_rate, tail)
-        clips = done
-    return clips
+def state_size(kernel: K.Kernel, fmt: Format) -> int:
+    """Numbers that a kernel keeps for a clip."""
+    kernel.start(1, fmt.channels, fmt.sample_rate)
+    return sum(v.size for v in kernel.state.values())
+
+
+def through(chain: Sequence[K.Kernel], clips: list[np.ndarray], fmt: Format, tail: bool) -> Iterator[np.ndarray]:
+    """Each clip through the whole chain, in order. A block goes through all kernels before the next one begins."""
+    more = sum(k.tail(fmt.sample_rate) for k in chain) if tail else 0
+    for part in blocks(clips, more, max((state_size(k, fmt) for k in chain), default=0)):
+        done = [clips[i] for i in part]
+        for kernel in chain:
+            done = K.run(kernel, done, fmt.channels, fmt.sample_rate, tail)
+        yield from done
+
+
+def sent(arrays: Iterable[np.ndarray]) -> Iterator[pd.Series]:
+    """Arrays in batches of a bounded number of samples; a longer array is alone."""
+    some, n = [], 0
+    for a in arrays:
+        if some and n + len(a) > SENT_SAMPLES:
+            yield pd.Series(some, dtype=object)
+            some, n = [], 0
+        some.append(a)
+        n += len(a)
+    if some:
+        yield pd.Series(some, dtype=object)
 
 
 def apply(samples: Column, fmt: Format, make: Callable[[], Sequence[K.Kernel]], tail: bool = True) -> Column:
     """The chain that ``make`` builds, over each clip. With ``tail`` a clip ends when the chain has rung out, and latency is cut off; without, its length stays."""
 
     @F.pandas_udf("array<double>")
-    def f(x: pd.Series) -> pd.Series:
-        got = through(make(), [_as_frames(v, fmt.channels) for v in x], fmt, tail)
-        return pd.Series([y.ravel() for y in got], dtype=object)
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return sent(y.ravel() for x in batches for y in through(make(), [_as_frames(v, fmt.channels) for v in x], fmt, tail))
 
     return f(samples)
 
@@ -64,11 +85,14 @@ def apply(samples: Column, fmt: Format, make: Callable[[], Sequence[K.Kernel]],
 def limit(samples: Column, fmt: Format, **options) -> Column:
     """The limiter offline: its look-ahead is cut off and the clip keeps its length."""
 
-    @F.pandas_udf("array<double>")
-    def f(x: pd.Series) -> pd.Series:
+    def limited(x: pd.Series) -> Iterator[np.ndarray]:
         clips = [_as_frames(v, fmt.channels) for v in x]
-        got = through([K.Limiter(**options)], clips, fmt, True)
-        return pd.Series([y[: len(c)].ravel() for y, c in zip(got, clips, strict=True)], dtype=object)
+        for y, c in zip(through([K.Limiter(**options)], clips, fmt, True), clips, strict=True):
+            yield y[: len(c)].ravel()
+
+    @F.pandas_udf("array<double>")
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return sent(y for x in batches for y in limited(x))
 
     return f(samples)
 
@@ -76,13 +100,13 @@ def limit(samples: Column, fmt: Format, **options) -> Column:
 def compress_beside(samples: Column, side: Column, fmt: Format, side_end: str = "silence", **options) -> Column:
     """Each clip compressed by the level of another one beside it."""
 
+    def compressed(v, w) -> np.ndarray:
+        level = np.abs(_as_frames(w, fmt.channels)).max(1) if len(w) else np.zeros(0)
+        return K.run(K.Compressor(sidechain=level, sidechain_end=side_end, **options), [_as_frames(v, fmt.channels)], fmt.channels, fmt.sample_rate, False)[0].ravel()
+
     @F.pandas_udf("array<double>")
-    def f(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for v, w in zip(x, y, strict=True):
-            level = np.abs(_as_frames(w, fmt.channels)).max(1) if len(w) else np.zeros(0)
-            out.append(K.run(K.Compressor(sidechain=level, sidechain_end=side_end, **options), [_as_frames(v, fmt.channels)], fmt.channels, fmt.sample_rate, False)[0].ravel())
-        return pd.Series(out, dtype=object)
+    def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return sent(compressed(v, w) for x, y in batches for v, w in zip(x, y, strict=True))
 
     return f(samples, side)
 
@@ -101,8 +125,8 @@ def true_peak(samples: Column, fmt: Format, oversampling: int = 4) -> Column:
 
 def resample_sinc(samples: Column, fmt: Format, rate: int) -> Column:
     @F.pandas_udf("array<double>")
-    def f(x: pd.Series) -> pd.Series:
-        return pd.Series([K.resample_sinc(_as_frames(v, fmt.channels), fmt.sample_rate, rate).ravel() for v in x], dtype=object)
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return sent(K.resample_sinc(_as_frames(v, fmt.channels), fmt.sample_rate, rate).ravel() for x in batches for v in x)
 
     return f(samples)
 
@@ -139,17 +163,17 @@ def pink_noise(n: Column, seed: Column, level: float = 1.0) -> Column:
     # Each sum's leak and its share of the white noise.
     leaks = ((0.99765, 0.0990460), (0.96300, 0.2965164), (0.57000, 1.0526913), (0.7616, -0.5511934), (0.8500, -0.7616))
 
+    def noise(count: int, seed: int) -> np.ndarray:
+        white = np.random.default_rng(abs(int(seed))).uniform(-1, 1, int(count))
+        y, sums = np.empty(int(count)), [0.0] * len(leaks)
+        for i, w in enumerate(white.tolist()):
+            sums = [leak * v + share * w for v, (leak, share) in zip(sums, leaks, strict=True)]
+            y[i] = sum(sums) + w * 0.115926 + w * 0.5362
+        return np.clip(y * level, -1, 1)
+
     @F.pandas_udf("array<double>")
-    def f(count: pd.Series, seeds: pd.Series) -> pd.Series:
-        out = []
-        for k, s in zip(count, seeds, strict=True):
-            white = np.random.default_rng(abs(int(s))).uniform(-1, 1, int(k))
-            y, sums = np.empty(int(k)), [0.0] * len(leaks)
-            for i, w in enumerate(white.tolist()):
-                sums = [leak * v + share * w for v, (leak, share) in zip(sums, leaks, strict=True)]
-                y[i] = sum(sums) + w * 0.115926 + w * 0.5362
-            out.append(np.clip(y * level, -1, 1))
-        return pd.Series(out, dtype=object)
+    def f(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return sent(noise(k, s) for counts, seeds in batches for k, s in zip(counts, seeds, strict=True))
 
     return f(n, seed)
 
