@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..model import CHUNKS, Format, InvalidFormat, InvalidParameter
+from ..operators.stateful import sent
 from . import codecs as C
 
 HEADER = "path string, codec string, channels int, sample_rate int, bit_depth int, valid_bits int, sample_format string, channel_layout array<string>, frames long, duration double, tags map<string,string>, extra map<string,string>, error string"
@@ -142,8 +143,8 @@ def decode_samples(content: Column, name: str, fmt: Format | None = None, **raw)
     """The samples of a file's bytes; a broken file raises. ``raw``: endianness and signed, for raw samples."""
 
     @F.pandas_udf("array<double>")
-    def f(x: pd.Series) -> pd.Series:
-        return pd.Series([C.decode(name, bytes(v), fmt, raw=raw)[1].samples.ravel() for v in x], dtype=object)
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return sent(C.decode(name, bytes(v), fmt, raw=raw)[1].samples.ravel() for x in batches for v in x)
 
     return f(content)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sonolith.model import Format
 from sonolith.operators import kernels as K
 from sonolith.operators import stateful as T
+from sonolith.sources import audio
 
 
 def largest_worker(run) -> float:
@@ -47,6 +48,16 @@ def test_tails_leave_a_worker_as_they_are_made(spark):
     assert tuple(got[0]) == (1_500, 2 * (64 + 4_008), 2 * (64 + 4_008))
 
 
+def test_samples_leave_a_worker_as_they_are_decoded(spark):
+    """4,000 files of 8-bit samples in one batch: 16 MB of bytes, 128 MB as samples."""
+    text = spark.range(0, 4_000, 1, 1).select("id", F.repeat(F.lit("ab"), (F.col("id") % 2 + 1).cast("int") * 1_333).alias("text"))
+    s = text.select(audio.decode_samples(F.encode("text", "UTF-8"), "a.raw", Format(1, 8_000, 8, "pcm")).alias("s"))
+    made = s.select(F.size("s").alias("n"), F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))
+    got = []
+    assert largest_worker(lambda: got.append(made.agg(F.count("n"), F.sum("n"), F.min("a"), F.max("b")).first())) < 400
+    assert tuple(got[0]) == (4_000, 4_000 * 3_999, ord("a") - 128.0, ord("b") - 128.0)
+
+
 def test_blocks_give_what_single_clips_give():
     """Clips of several lengths, silent and empty ones, in blocks of a few, through a chain: each as by itself."""
     import numpy as np
