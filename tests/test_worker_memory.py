@@ -48,6 +48,16 @@ def test_tails_leave_a_worker_as_they_are_made(spark):
     assert tuple(got[0]) == (1_500, 2 * (64 + 4_008), 2 * (64 + 4_008))
 
 
+def test_a_chain_goes_block_by_block(spark):
+    """6,000 short clips through three processors with tails: 92 MB as samples."""
+    fmt = Format(2, 8_000)
+    clips = spark.range(0, 6_000, 1, 1).select("id", F.array_repeat(F.col("id") % 7 / 10.0 + 0.1, 128).alias("samples"))
+    made = clips.select(F.size(T.apply(F.col("samples"), fmt, K.mastering_chain)).alias("n"))
+    got = []
+    assert largest_worker(lambda: got.append(made.agg(F.count("n"), F.min("n"), F.max("n")).first())) < 400
+    assert got[0][0] == 6_000 and got[0][1] == got[0][2] == 1_912
+
+
 def test_samples_leave_a_worker_as_they_are_decoded(spark):
     """4,000 files of 8-bit samples in one batch: 16 MB of bytes, 128 MB as samples."""
     text = spark.range(0, 4_000, 1, 1).select("id", F.repeat(F.lit("ab"), (F.col("id") % 2 + 1).cast("int") * 1_333).alias("text"))
