@@ -54,17 +54,16 @@ def filter_rows(signal: DataFrame, coefficients: Section | tuple[Section, ...],
     rows = signal.groupBy(F.floor(F.col("frame") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("r")).select("b", F.transform("r", lambda p: p["x"]).alias("x"))
 
     @F.pandas_udf("y array<double>, ends array<double>")
-    def rest(x: pd.Series) -> pd.DataFrame:
-        made, ends = [], []
-        clips = [np.asarray(v, np.float64).reshape(-1, 1) for v in x]
-        for part in T.blocks(clips, 0):
-            kernel = K.Biquad(*sections)
-            some = [clips[i] for i in part]
-            made += [y.ravel() for y in K.run(kernel, some, 1, 8_000, False)]
-            places = np.empty(len(some), int)
-            places[np.argsort([-len(c) for c in some], kind="stable")] = np.arange(len(some))
-            ends += [_states(kernel, j) for j in places.tolist()]
-        return pd.DataFrame({"y": made, "ends": ends})
+    def rest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            clips = [np.asarray(v, np.float64).reshape(-1, 1) for v in x]
+            for part in T.blocks(clips, 0, most=T.SENT_SAMPLES):
+                kernel = K.Biquad(*sections)
+                some = [clips[i] for i in part]
+                made = [y.ravel() for y in K.run(kernel, some, 1, 8_000, False)]
+                places = np.empty(len(some), int)
+                places[np.argsort([-len(c) for c in some], kind="stable")] = np.arange(len(some))
+                yield pd.DataFrame({"y": made, "ends": [_states(kernel, j) for j in places.tolist()]})
 
     first = rows.withColumn("z", rest("x")).select("b", "z.y", "z.ends")
     ends = first.select("b", F.size("y").alias("n"), "ends")
@@ -106,11 +105,12 @@ def filter_rows(signal: DataFrame, coefficients: Section | tuple[Section, ...],
     states = ends.join(begun, "span").groupBy("span").applyInPandas(within, "b long, state array<double>")
 
     @F.pandas_udf("array<double>")
-    def settle(y: pd.Series, state: pd.Series) -> pd.Series:
-        if not len(y):
-            return pd.Series(dtype=object)
-        ring = ringing(sections, max(len(v) for v in y))[0]
-        return pd.Series([np.asarray(v) + ring[: len(v)] @ np.asarray(s) for v, s in zip(y, state, strict=True)], dtype=object)
+    def settle(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        ring = np.zeros((0, size))
+        for y, state in batches:
+            if (n := max((len(v) for v in y), default=0)) > len(ring):
+                ring = ringing(sections, n)[0]
+            yield from T.sent(np.asarray(v) + ring[: len(v)] @ np.asarray(s) for v, s in zip(y, state, strict=True))
 
     whole = first.select("b", "y").join(states, "b").select("b", settle("y", "state").alias("y"))
     return whole.select("b", F.posexplode("y").alias("i", "y")).select((F.col("b") * block + F.col("i")).alias("frame"), "y")

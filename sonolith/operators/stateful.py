@@ -28,14 +28,14 @@ def _as_frames(x, channels: int) -> np.ndarray:
     return np.asarray(x, np.float64).reshape(-1, channels)
 
 
-def blocks(clips: list[np.ndarray], more: int, held: int = 0) -> list[range]:
+def blocks(clips: list[np.ndarray], more: int, held: int = 0, most: int | None = None) -> list[range]:
     """Runs of clips whose padded block, with ``held`` numbers a clip besides, stays within the bound; a longer clip is alone."""
-    out, at = [], 0
+    most, out, at = most or BLOCK_SAMPLES, [], 0
     while at < len(clips):
         to, longest = at, 0
         while to < len(clips):
             longest = max(longest, len(clips[to]) + more)
-            if to > at and (longest * clips[to].shape[1] + held) * (to - at + 1) > BLOCK_SAMPLES:
+            if to > at and (longest * clips[to].shape[1] + held) * (to - at + 1) > most:
                 break
             to += 1
         out.append(range(at, to))

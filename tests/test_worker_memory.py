@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sonolith.model import Format
 from sonolith.operators import kernels as K
 from sonolith.operators import stateful as T
+from sonolith.operators.blocked import filter_rows
 from sonolith.sources import audio
 
 
@@ -68,6 +69,20 @@ def test_samples_leave_a_worker_as_they_are_decoded(spark):
     assert tuple(got[0]) == (4_000, 4_000 * 3_999, ord("a") - 128.0, ord("b") - 128.0)
 
 
+def test_blocks_of_a_long_signal_leave_a_worker_as_they_are_filtered(spark):
+    """Five million frames in one task: 40 MB as samples."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    signal = spark.range(5_000_000).select(F.col("id").alias("frame"), (F.col("id") % 100 / 50.0 - 1).alias("x"))
+    got = []
+    try:
+        made = filter_rows(signal, (0.5, 0.0, 0.0, -0.5, 0.0), 16_384)
+        assert largest_worker(lambda: got.append(made.agg(F.count("y"), F.max("frame")).first())) < 380
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(got[0]) == (5_000_000, 4_999_999)
+
+
 def test_blocks_give_what_single_clips_give():
     """Clips of several lengths, silent and empty ones, in blocks of a few, through a chain: each as by itself."""
     import numpy as np
